@@ -182,7 +182,8 @@ def extract_text(df: DataFrame, html: str = "html", url: str = "url", id_: str =
         held = 0
         for batch in batches:
             for i, u, h, host in zip(*(batch.column(c) for c in ("id", "url", "html", "host")), strict=True):
-                row = (i.as_py(), u.as_py(), host.as_py(), page_blocks(h.as_py()))
+                source = h.as_py()
+                row = (i.as_py(), u.as_py(), host.as_py(), page_blocks(source))
                 if before is not None and before[2] == row[2]:
                     if first is not None:
                         done.append(made(first, row[3]))
@@ -193,7 +194,7 @@ def extract_text(df: DataFrame, html: str = "html", url: str = "url", id_: str =
                         done.append(made(first, None))
                     first = row
                 before = row
-                held += len(h)
+                held += len(source)
                 if held > 8_000_000 and done:
                     yield out(done)
                     done, held = [], 0
