@@ -90,7 +90,8 @@ def judged(df: DataFrame, text: str = "text", rules: dict[str, tuple[str, float
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """df's rows that pass, with df's columns."""
     own = df.select(F.struct(*scratch_columns(df)).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    return judged(own, "__text").filter("kept").select("__row.*")
+    # Not a filter: pushed below the projections, it would repeat all measures within each other.
+    return judged(own, "__text").select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")).select("__row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
