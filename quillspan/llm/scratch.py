@@ -6,8 +6,11 @@ reads them, so a lost executor costs a re-read and not a recomputation of everyt
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +74,11 @@ def with_maybe(df: DataFrame, filter_: DataFrame, flag: str, *columns: str | Col
 def names(df: DataFrame) -> list[Column]:
     """Every column of df by position-safe name."""
     return [F.col(f"`{c}`") for c in df.columns]
+
+
+def per_worker(name: str, key: object, make: Callable):
+    """What make() returns, made once per Python worker for a key: Spark reuses workers, so tasks find what an earlier one has made."""
+    store = sys.modules.setdefault("_quillspan_worker", types.ModuleType("_quillspan_worker")).__dict__
+    if name not in store or store[name][0] != key:
+        store[name] = (key, make())
+    return store[name][1]

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 MARK = "▁"
 #: Kinds of pieces and of models in the SentencePiece format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_CHARS = 12_000_000  # of stretches that a worker remembers
+CACHE_CHARS = 8_000_000  # of stretches that a worker remembers
 JOINT = "\x01"
 LONGEST = 64  # a longer stretch is not remembered
 #: Maximal stretches: markers, then characters that are none.
@@ -204,7 +206,7 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-def slices(values: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(values: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of values of about so many characters."""
     start = held = 0
     for i, v in enumerate(values):
@@ -227,7 +229,7 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", with_ids: bool =
     rest = [c for c in df.columns if c != text and c not in own]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(proto)
+        codec = scratch.per_worker("sentence_piece", proto, lambda: Codec(proto))
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in slices(texts):

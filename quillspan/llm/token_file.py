@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 BLOCK_TOKENS = 1 << 18
-CACHE_CHARS = 12_000_000
+CACHE_CHARS = 8_000_000
 LONGEST = 64
 _CUT = re.compile(r" (?=\S)")
 #: Lengths of the four numbers that a control byte describes.
@@ -100,7 +100,7 @@ class Encoder:
                 yield np.array(e.ids, dtype="<u2").tobytes()
 
 
-def slices(values: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(values: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of values of about so many characters."""
     start = held = 0
     for i, v in enumerate(values):
@@ -119,7 +119,7 @@ def encode_ids(df: DataFrame, tokenizer: str, end_id: int, text: str = "text", i
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec)
+        encoder = scratch.per_worker("token_file", spec, lambda: Encoder(spec))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
