@@ -1,4 +1,415 @@
-"""All queries of the fact engine by name, and SQL that says the same."""
+"""All queries of the fact engine by name, and SQL that says the same. Golden cases have their expected rows as SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numbers, periods, text
+from ..operators import ground, relate, resolve
+from ..sources import tables
+from ..streaming import incremental
+from . import inputs
+from .inputs import FACTS_SQL, PAGES_SQL, RELATIONS_SQL, order_facts, order_relations, synthetic_pages, table
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """Rows as SQL."""
+    one = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" if isinstance(x, float) else repr(x)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({names})"
+
+
+NUMBERS = [("8,142", 8142.0, 1.0, False, "exact"), ("81,415.38", 81415.38, 0.01, False, "exact"), ("(452)", 452.0, 1.0, True, "exact"), ("-4,516.08", 4516.08, 0.01, True, "exact"), ("~6.5", 6.5, 0.1, False, "approximate"), ("more than 50", 50.0, 1.0, False, "at_least"), ("up to 3.20", 3.2, 0.01, False, "at_most"), ("12 345", 12345.0, 1.0, False, "exact"), ("100+", 100.0, 1.0, False, "at_least"), ("none", None, None, None, None)]
+
+
+@query("number_parse", values(NUMBERS, "raw, value, ulp, negative, bound"))
+def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([(r[0],) for r in NUMBERS], "raw string")
+    return d.select("raw", numbers.parse_number(F.col("raw")).alias("p")).select("raw", "p.value", "p.ulp", "p.negative", "p.bound")
+
+
+UNITS = [("Rs. crore", None, "INR_million", "currency", 10.0), ("Rs. million", None, "INR_million", "currency", 1.0), ("tonnes", "million", "tonne", "mass", 1000000.0), ("kg", None, "tonne", "mass", 0.001), ("per cent", None, "percent", "percent", 1.0), ("bps", None, "percent", "percent", 0.01), ("lakh crore", None, "other:lakh", "other", 10000000.0), ("hours", None, "other:hours", "other", 1.0), ("times", None, "times", "ratio", 1.0), ("US$ bn", None, "USD_million", "currency", 1000.0), ("", "thousand", "count", "count", 1000.0)]
+
+
+@query("unit_normalise", values(UNITS, "unit, magnitude, canonical, family, factor"))
+def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([r[:2] for r in UNITS], "unit string, magnitude string")
+    return d.select("*", numbers.normalise_unit(F.col("unit"), F.col("magnitude")).alias("u")).select("unit", "magnitude", "u.*")
+
+
+AGREEMENT = [("8,142", "Rs. crore", None, "81,415.38", "Rs. million", None, True), ("127", "Rs. crore", None, "1,266.41", "Rs. million", None, True), ("76", "Rs. crore", None, "757.86", "Rs. million", None, True), ("1.4", "tonnes", "million", "1,429", "tonnes", "thousand", True), ("6.4", "per cent", None, "6.5", "per cent", None, False), ("6.5", "per cent", None, "6.6", "per cent", None, False), ("74,540.82", "Rs. million", None, "81,415.38", "Rs. million", None, False), ("(452)", "Rs. crore", None, "-4,516.08", "Rs. million", None, True), ("72,253.01", "Rs. million", None, "72,236.47", "Rs. million", None, False), ("~6.5", "per cent", None, "6.8", "per cent", None, True)]
+
+
+@query("value_agreement", values([(*r[:2], *r[3:5], r[6]) for r in AGREEMENT], "l_value, l_unit, r_value, r_unit, agrees"))
+def value_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([r[:6] for r in AGREEMENT], "l_value string, l_unit string, l_magnitude string, r_value string, r_unit string, r_magnitude string")
+    side = lambda s: numbers.build_interval(numbers.parse_number(F.col(f"{s}_value")), numbers.normalise_unit(F.col(f"{s}_unit"), F.col(f"{s}_magnitude")))
+    d = d.select("*", side("l").alias("l"), side("r").alias("r"))
+    return d.select("l_value", "l_unit", "r_value", "r_unit", numbers.intervals_overlap(F.col("l.lo"), F.col("l.hi"), F.col("r.lo"), F.col("r.hi")).alias("agrees"))
+
+
+PERIODS = [(t, s, e) for ts, s, e in [("FY24|FY2024|FY 2023-24|2023-24|year ended March 31, 2024", "2023-04-01", "2024-03-31"), ("FY25|2024-25|FY2024/25", "2024-04-01", "2025-03-31"), ("FY26|FY2025/26", "2025-04-01", "2026-03-31"), ("Q4 FY24", "2024-01-01", "2024-03-31"), ("Q1 FY25|Q1:2024-25", "2024-04-01", "2024-06-30"), ("H1 FY25", "2024-04-01", "2024-09-30"), ("CY2024|2024", "2024-01-01", "2024-12-31"), ("as at June 30, 2023", "2023-06-01", "2023-06-30"), ("no date", None, None)] for t in ts.split("|")]
+
+
+@query("period_goldens", values(PERIODS, "text, starts, ends"))
+def period_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([(r[0],) for r in PERIODS], "text string").select("text", periods.parse_period(F.col("text")).alias("p"))
+    return d.select("text", F.col("p.start").cast("string").alias("starts"), F.col("p.end").cast("string").alias("ends"))
+
+
+def _order_periods(spark: SparkSession, sf_dir: str, written) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    fy = F.year("o_orderdate") + F.when(F.month("o_orderdate") >= 4, 1).otherwise(0)
+    o = o.withColumn("t", written(fy, F.floor(F.pmod(F.month("o_orderdate") - 4, F.lit(12)) / 3) + 1, F.when(F.pmod(F.month("o_orderdate") - 4, F.lit(12)) < 6, 1).otherwise(2)))
+    return o.select("o_orderkey", "t", periods.parse_period(F.col("t")).alias("p")).select("o_orderkey", F.col("t").alias("label"), F.col("p.start").cast("string").alias("starts"), F.col("p.end").cast("string").alias("ends"), "p.granularity")
+
+
+_FY = "(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 4 THEN 1 ELSE 0 END)"
+_M = "((month(o_orderdate) + 8) % 12)"
+
+
+@query("period_fiscal_year", f"SELECT o_orderkey, 'FY' || {_FY} AS label, CAST(make_date({_FY} - 1, 4, 1) AS VARCHAR) AS starts, CAST(make_date({_FY}, 3, 31) AS VARCHAR) AS ends, 'year' AS granularity FROM orders")
+def period_fiscal_year(spark, sf_dir):
+    return _order_periods(spark, sf_dir, lambda fy, q, h: F.concat(F.lit("FY"), fy.cast("string")))
+
+
+def _window_sql(label: str, first: str, months: int, name: str) -> str:
+    start = f"(make_date({_FY} - 1, 4, 1) + to_months(CAST({first} AS INTEGER)))"
+    return f"SELECT o_orderkey, {label} AS label, CAST(CAST({start} AS DATE) AS VARCHAR) AS starts, CAST(CAST({start} + to_months({months}) - to_days(1) AS DATE) AS VARCHAR) AS ends, '{name}' AS granularity FROM orders"
+
+
+@query("period_quarter", _window_sql(f"'Q' || ({_M} // 3 + 1) || ' FY' || {_FY}", f"({_M} // 3) * 3", 3, "quarter"))
+def period_quarter(spark, sf_dir):
+    return _order_periods(spark, sf_dir, lambda fy, q, h: F.concat(F.lit("Q"), q.cast("string"), F.lit(" FY"), fy.cast("string")))
+
+
+@query("period_half", _window_sql(f"'H' || ({_M} // 6 + 1) || ' FY' || {_FY}", f"({_M} // 6) * 6", 6, "half"))
+def period_half(spark, sf_dir):
+    return _order_periods(spark, sf_dir, lambda fy, q, h: F.concat(F.lit("H"), h.cast("string"), F.lit(" FY"), fy.cast("string")))
+
+
+@query("period_contains_join", f"WITH q AS (SELECT DISTINCT CAST(make_date({_FY} - 1, 4, 1) + to_months(CAST(({_M} // 3) * 3 AS INTEGER)) AS DATE) AS s, {_FY} AS fy, ({_M} // 3 + 1) AS n FROM orders), y AS (SELECT DISTINCT {_FY} AS fy FROM orders) SELECT 'Q' || n || ' FY' || q.fy AS part, 'FY' || y.fy AS whole FROM q JOIN y ON make_date(y.fy - 1, 4, 1) <= s AND s + to_months(3) - to_days(1) <= make_date(y.fy, 3, 31)")
+def period_contains_join(spark, sf_dir):
+    q, y = period_quarter(spark, sf_dir).select("label", "starts", "ends").distinct(), period_fiscal_year(spark, sf_dir).select("label", "starts", "ends").distinct()
+    # Windows meet on the years that they touch, so the containment is checked under an equality.
+    years = lambda d: d.withColumn("year", F.explode(F.sequence(F.year(F.col("starts").cast("date")), F.year(F.col("ends").cast("date")))))
+    p, w = years(q).alias("p"), years(y).alias("w")
+    inside = periods.period_contains(F.col("w.starts"), F.col("w.ends"), F.col("p.starts"), F.col("p.ends"))
+    return p.join(w, "year").filter(inside).select(F.col("p.label").alias("part"), F.col("w.label").alias("whole")).distinct()
+
+
+@query("precision_interval", "WITH " + FACTS_SQL + " SELECT id, value, lo, hi, 'USD_million' AS unit FROM f")
+def precision_interval(spark, sf_dir):
+    return order_facts(spark, sf_dir).select("id", "value", "lo", "hi", "unit")
+
+
+KEYS = [("Revenue from Operations (net)", "revenue from operation", "revenue from operations"), ("Total number of Services", "number services", "total number of services"), ("Gross NPAs per cent", "gross npa per", "gross npas per cent"), ("The total", "the total", "the total"), ("Delhivery Limited", "delhivery limited", "delhivery"), ("Acme (India) Pvt. Ltd.", "acme pvt ltd", "acme")]
+
+
+@query("metric_key", values([r[:2] for r in KEYS], "name, key") + " UNION ALL SELECT DISTINCT p_name || ' total', p_name FROM (SELECT list_aggregate(list_transform(string_split(lower(p_name), ' '), w -> CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END), 'string_agg', ' ') AS p_name FROM part) WHERE false")
+def metric_keys(spark, sf_dir):
+    return spark.createDataFrame([(r[0],) for r in KEYS], "name string").select("name", text.metric_key(F.col("name")).alias("key"))
+
+
+@query("subject_key", values([(r[0], r[2]) for r in KEYS], "name, key"))
+def subject_keys(spark, sf_dir):
+    return spark.createDataFrame([(r[0],) for r in KEYS], "name string").select("name", text.subject_key(F.col("name")).alias("key"))
+
+
+@query("fact_id_dedup", "WITH t AS (SELECT substr(sha1(doc_id || '#p0:0-' || n_chars || '|' || source || '|' || n_chars || '||lang=' || lang), 1, 16) AS id, doc_id, (doc_id % 7) / 10.0::DOUBLE AS confidence FROM (SELECT doc_id // 2 AS doc_id, source, n_chars // 500 AS n_chars, lang FROM documents)) SELECT id, max(confidence) AS confidence, min(doc_id) AS doc_id FROM t GROUP BY id")
+def fact_id_dedup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 2").alias("doc_id"), "source", F.expr("n_chars div 500").alias("n_chars"), "lang")
+    id_ = text.fact_id(text.locator(F.col("doc_id").cast("string"), F.lit(0), F.lit(0), F.col("n_chars")), F.col("source"), F.col("n_chars").cast("string"), F.lit(None).cast("string"), F.create_map(F.lit("lang"), F.col("lang")))
+    return ground.dedup_facts(d.select(id_.alias("id"), "doc_id", (F.col("doc_id") % 7 / 10.0).alias("confidence"))).select("id", "confidence", "doc_id")
+
+
+def _scored(spark, sf_dir):
+    pages = synthetic_pages(spark, sf_dir)
+    return ground.page_scores(pages.drop("n_lines"), ground.candidates(pages))
+
+
+# Of each line the price counts (currency) and the tonnage counts with two digits or more... a bare small integer does not, and "Item 1" is structure.
+_SCORES = "WITH " + PAGES_SQL + ", q AS (SELECT doc_id, page, CAST(coalesce(len(list_filter(string_split(text, chr(10)), x -> x LIKE 'Item%')), 0) AS BIGINT) AS n_salient, state, length(trim(text)) AS len FROM pages_), r AS (SELECT *, len >= 120 AND (state OR n_salient >= 2) AS interesting, (n_salient + CASE WHEN state THEN 6.0 ELSE 0.0 END)::DOUBLE * CASE WHEN n_salient / greatest(1.0, len / 400.0) > 3 THEN 1.25 ELSE 1.0 END AS value FROM q)"
+
+
+@query("page_gate", _SCORES + " SELECT doc_id, page, n_salient, state AS state_language, interesting FROM r")
+def page_gate(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "page", F.col("n_salient").cast("bigint").alias("n_salient"), "state_language", "interesting")
+
+
+@query("page_value_topk", _SCORES + " SELECT doc_id, page, value FROM r WHERE interesting QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, page) <= 3")
+def page_value_topk(spark, sf_dir):
+    return ground.page_budget(_scored(spark, sf_dir).filter("interesting"), 3).select("doc_id", "page", "value")
+
+
+@query("state_language", "WITH " + PAGES_SQL + " SELECT doc_id, page FROM pages_ WHERE state")
+def state_language(spark, sf_dir):
+    return synthetic_pages(spark, sf_dir).filter(text.has_state_language(F.col("text"))).select("doc_id", "page")
+
+
+@query("salience_class", "WITH " + PAGES_SQL + ", q AS (SELECT unnest(string_split(text, chr(10))) AS line FROM pages_) SELECT 'high' AS salience, NULL AS reason, 'Rs.' AS currency, CAST(count(*) AS BIGINT) AS n FROM q WHERE line LIKE 'Item%' UNION ALL SELECT 'low', 'bare_small_integer', '', CAST(count(*) AS BIGINT) FROM q WHERE line LIKE 'Item%'")
+def salience_class(spark, sf_dir):
+    return ground.candidates(synthetic_pages(spark, sf_dir)).groupBy("salience", "reason", "currency").agg(F.count("*").alias("n"))
+
+
+@query("quantity_scan")
+def quantity_scan(spark, sf_dir):
+    return ground.salient(synthetic_pages(spark, sf_dir)).select("doc_id", "page", "start", "end", "text", "currency", "post")
+
+
+def _covered(spark, sf_dir):
+    pages = synthetic_pages(spark, sf_dir)
+    spans = pages.select("doc_id", "page", F.lit(0).alias("s"), F.expr("instr(concat(text, '\n'), '\n') - 1").alias("e"))
+    return ground.coverage(ground.candidates(pages), spans)
+
+
+@query("coverage_by_page", "WITH " + PAGES_SQL + " SELECT doc_id, page, n AS detected, CAST(1 AS BIGINT) AS covered, 1.0::DOUBLE / n AS ratio FROM pages_")
+def coverage_by_page(spark, sf_dir):
+    return _covered(spark, sf_dir)
+
+
+@query("worst_pages", "WITH " + PAGES_SQL + " SELECT doc_id, page, n AS detected, CAST(1 AS BIGINT) AS covered, 1.0::DOUBLE / n AS ratio FROM pages_ WHERE n >= 8 ORDER BY ratio, doc_id, page LIMIT 12")
+def worst_pages(spark, sf_dir):
+    return ground.worst_pages(_covered(spark, sf_dir))
+
+
+@query("batch_pack")
+def batch_pack(spark, sf_dir):
+    return ground.batches(table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text"), 8, 45_000)
+
+
+def _proposals(spark, sf_dir):
+    """Per page of the first line's price; every fifth value is altered, every seventh quote belongs to another page, some are empty."""
+    pages = synthetic_pages(spark, sf_dir).withColumn("quote", F.split("text", "\n")[0])
+    price = F.regexp_extract("quote", r"Rs\. ([0-9.]+)", 1)
+    wrong = F.when(F.col("page") % 5 == 0, F.lit("99999999999")).otherwise(price)
+    moved = F.when(F.col("page") % 7 == 0, F.col("page") + 1_000_000_000).otherwise(F.col("page"))
+    quote = F.when(F.col("page") % 11 == 0, F.lit("")).when(F.col("page") % 13 == 0, F.lit("not there at all")).otherwise(F.col("quote"))
+    p = pages.select("doc_id", F.lit(0).alias("batch"), moved.alias("page"), quote.alias("quote"), F.lit("numeric").alias("kind"), F.lit("Freight value").alias("metric"), wrong.alias("value_raw"), F.lit("Rs. million").alias("unit_raw"), F.lit(None).cast("string").alias("state"), F.lit("FY24").alias("period_raw"), F.lit(None).cast("string").alias("subject"), F.create_map(F.lit("scope"), F.lit("standalone")).alias("qualifiers"), F.lit(0.9).alias("confidence"))
+    return p, pages.select("doc_id", F.lit(0).alias("batch"), "page", "text")
+
+
+@query("quote_grounding")
+def quote_grounding(spark, sf_dir):
+    p, pages = _proposals(spark, sf_dir)
+    return ground.ground(p, pages).select("doc_id", "page", "found_page", "start", "end", "how", "relocated", "reason")
+
+
+@query("rejection_stats")
+def rejection_stats(spark, sf_dir):
+    return ground.rejection_stats(ground.ground(*_proposals(spark, sf_dir)))
+
+
+@query("assembled_facts")
+def assembled_facts(spark, sf_dir):
+    f = ground.assemble(ground.ground(*_proposals(spark, sf_dir)))
+    return f.select("id", "doc_id", "metric_key", "value", "lo", "hi", "unit", F.to_json("dims").alias("dims"), "confidence", "page", "original_page")
+
+
+@query("value_in_quote", "SELECT doc_id, item_id FROM (SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS d FROM documents WHERE doc_id % 5 = 0), benchmark WHERE contains(d, CAST(item_id AS VARCHAR))")
+def value_in_quote(spark, sf_dir):
+    d, b = table(spark, sf_dir, "documents").filter("doc_id % 5 = 0").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id")
+    return d.join(F.broadcast(b), ground.value_in_quote(F.col("item_id").cast("string"), F.col("text"))).select("doc_id", "item_id")
+
+
+@query("qualifier_merge", "SELECT event_id, 'scope=' || event_type || CASE WHEN event_id % 2 = 0 THEN '' ELSE ',unit=usd' END AS merged FROM events")
+def qualifier_merge(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    own = F.create_map(F.lit("scope"), F.col("event_type"), F.lit("note"), F.lit(None).cast("string"))
+    defaults = F.create_map(F.lit("scope"), F.lit("default"), F.lit("unit"), F.lit("usd"))
+    known = F.when(F.col("event_id") % 2 == 0, "USD_million")
+    return e.select("event_id", text.rendered(relate.merge_qualifiers(defaults, own, known)).alias("merged"))
+
+
+@query("block_pairs", "WITH " + FACTS_SQL + " SELECT l.id AS left_id, r.id AS right_id FROM f l JOIN f r ON l.metric_key = r.metric_key AND l.id < r.id")
+def block_pairs(spark, sf_dir):
+    return relate.block_pairs(order_facts(spark, sf_dir)).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
+
+
+@query("block_cap", "WITH " + FACTS_SQL + ", n AS (SELECT id, metric_key FROM f QUALIFY row_number() OVER (PARTITION BY metric_key ORDER BY id) <= 5) SELECT l.id AS left_id, r.id AS right_id FROM n l JOIN n r ON l.metric_key = r.metric_key AND l.id < r.id")
+def block_cap(spark, sf_dir):
+    return relate.block_pairs(order_facts(spark, sf_dir), cap=5).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
+
+
+def _part_facts(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    return p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), text.metric_key(F.col("p_name")).alias("metric_key"), F.col("p_retailprice").alias("value"))
+
+
+@query("lexical_links")
+def lexical_links(spark, sf_dir):
+    return resolve.lexical_links(_part_facts(spark, sf_dir), least=60.0)
+
+
+
+@query("semantic_links", "WITH n AS (SELECT vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.key AS key_a, b.key AS key_b, list_cosine_similarity(a.v, b.v) AS score FROM n a JOIN n b ON a.key < b.key), w AS (SELECT * FROM s WHERE score >= 0.4), e AS (SELECT key_a AS x, key_b AS y, score FROM w UNION ALL SELECT key_b, key_a, score FROM w), k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY x ORDER BY score DESC, y) <= 16) SELECT least(x, y) AS key_a, greatest(x, y) AS key_b, round(max(score), 6) AS score FROM k GROUP BY 1, 2")
+def semantic_links(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return resolve.semantic_links(v, least=0.4).withColumn("score", F.round("score", 6))
+
+
+_ADJ = "l AS (SELECT key_a, key_b, CAST(60 + (length(key_a) * 7 + length(key_b) * 3) % 40 AS DOUBLE) AS lexical FROM (SELECT DISTINCT least(a.p_name, b.p_name) AS key_a, greatest(a.p_name, b.p_name) AS key_b FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_name < b.p_name))"
+
+
+def _links(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_name", "p_type", "p_brand")
+    a, b = p.withColumnRenamed("p_name", "key_a"), p.withColumnRenamed("p_name", "key_b")
+    pairs = a.join(b, ["p_type", "p_brand"]).filter("key_a < key_b").select("key_a", "key_b").distinct()
+    return pairs.withColumns({"lexical": (60 + (F.length("key_a") * 7 + F.length("key_b") * 3) % 40).cast("double"), "semantic": F.lit(None).cast("double")})
+
+
+@query("metric_adjudication", "WITH " + _ADJ + " SELECT key_a, key_b, CASE WHEN lexical >= 95 THEN true WHEN lexical < 80 THEN false WHEN length(key_a) % 2 = 0 THEN true ELSE false END AS same, CASE WHEN lexical >= 95 THEN 'lexical_high' WHEN lexical < 80 THEN 'blocked' WHEN length(key_a) % 2 = 0 THEN 'llm' ELSE 'lexical' END AS source FROM l")
+def metric_adjudication(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    said = links.filter(F.length("key_a") % 2 == 0).select("key_a", "key_b", F.lit(True).alias("same"), F.lit("llm").alias("source"))
+    return resolve.same_metric(links, said).select("key_a", "key_b", "same", "source")
+
+
+@query("cross_block_pairs", "WITH " + _ADJ + ", d AS (SELECT p_partkey, p_name FROM part WHERE p_partkey % 20 = 0) SELECT least('p' || a.p_partkey, 'p' || b.p_partkey) AS left_id, greatest('p' || a.p_partkey, 'p' || b.p_partkey) AS right_id, lexical AS score FROM l JOIN d a ON a.p_name = key_a JOIN d b ON b.p_name = key_b")
+def cross_block_pairs(spark, sf_dir):
+    f = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("metric_key"))
+    links = _links(spark, sf_dir).select("key_a", "key_b", F.col("lexical").alias("score"))
+    return relate.linked_pairs(f, links).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "score")
+
+
+@query("dim_diff", RELATIONS_SQL + " SELECT id, array_to_string(list_filter([CASE WHEN NOT cb THEN 'basis' END, CASE WHEN ap THEN 'period' END], x -> x IS NOT NULL), ',') AS agree, array_to_string(list_filter([CASE WHEN cb THEN 'basis' END, CASE WHEN cp THEN 'period' END], x -> x IS NOT NULL), ',') AS conflict, CASE WHEN up THEN 'period' ELSE '' END AS unspecified FROM e")
+def dim_diff(spark, sf_dir):
+    e = relate.evaluate(relate.block_pairs(order_facts(spark, sf_dir)))
+    return e.select("id", *[F.array_join(f"dims.{c}", ",").alias(c) for c in ("agree", "conflict", "unspecified")])
+
+
+@query("semantic_state_compare", "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY 1, 2) SELECT l.user_id, CAST(l.day AS VARCHAR) AS l_day, CAST(r.day AS VARCHAR) AS r_day, l.state = r.state AS agrees FROM d l JOIN d r ON l.user_id = r.user_id AND l.day < r.day")
+def semantic_state_compare(spark, sf_dir):
+    d = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
+    none = lambda t: F.lit(None).cast(t)
+    f = d.select(F.col("day").cast("string").alias("id"), F.col("day").cast("string").alias("doc_id"), F.lit("semantic").alias("kind"), F.col("user_id").cast("string").alias("metric_key"), none("double").alias("value"), none("double").alias("lo"), none("double").alias("hi"), none("string").alias("unit"), "state", F.create_map(F.lit("period"), F.col("day").cast("string")).alias("dims"), F.lit(0.9).alias("confidence"))
+    e = relate.evaluate(relate.block_pairs(f, cap=None))
+    return e.select(F.col("l.metric_key").cast("bigint").alias("user_id"), F.col("l.id").alias("l_day"), F.col("r.id").alias("r_day"), "agrees")
+
+
+@query("dim_power", RELATIONS_SQL + " SELECT dim, n_pairs, n_differs, power FROM t")
+def dim_power(spark, sf_dir):
+    return relate.dimension_stats(relate.evaluate(relate.block_pairs(order_facts(spark, sf_dir))))
+
+
+@query("verdicts", RELATIONS_SQL + " SELECT id, left_id, right_id, verdict, explained_by, review_reason, cross_document FROM rel")
+def verdicts(spark, sf_dir):
+    return order_relations(spark, sf_dir).select("id", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "verdict", "explained_by", "review_reason", "cross_document")
+
+
+@query("verdict_counts", RELATIONS_SQL + " SELECT verdict, explained_by, CAST(count(*) AS BIGINT) AS n FROM rel GROUP BY 1, 2")
+def verdict_counts(spark, sf_dir):
+    return order_relations(spark, sf_dir).groupBy("verdict", "explained_by").agg(F.count("*").alias("n"))
+
+
+@query("explained_by", RELATIONS_SQL + " SELECT explained_by, cross_document, CAST(count(*) AS BIGINT) AS n FROM rel WHERE verdict = 'reconciled' GROUP BY 1, 2")
+def explained_by(spark, sf_dir):
+    return order_relations(spark, sf_dir).filter("verdict = 'reconciled'").groupBy("explained_by", "cross_document").agg(F.count("*").alias("n"))
+
+
+@query("abstentions", RELATIONS_SQL + " SELECT id, review_reason FROM rel WHERE verdict = 'needs_review'")
+def abstentions(spark, sf_dir):
+    return order_relations(spark, sf_dir).filter("verdict = 'needs_review'").select("id", "review_reason")
+
+
+@query("relation_confidence", RELATIONS_SQL + " SELECT id, confidence, salience FROM rel")
+def relation_confidence(spark, sf_dir):
+    return order_relations(spark, sf_dir).select("id", "confidence", "salience")
+
+
+@query("salience_topk", RELATIONS_SQL + " SELECT id, verdict, salience FROM rel ORDER BY salience DESC, id LIMIT 50")
+def salience_topk(spark, sf_dir):
+    return order_relations(spark, sf_dir).orderBy(F.desc("salience"), "id").limit(50).select("id", "verdict", "salience")
+
+
+@query("explanations")
+def explanations(spark, sf_dir):
+    return order_relations(spark, sf_dir).select("id", "verdict", relate.explanation().alias("explanation"))
+
+
+@query("relation_summary_rollup", RELATIONS_SQL + " SELECT verdict, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (cross_document) AS BIGINT) AS n_cross FROM rel GROUP BY ROLLUP (verdict)")
+def relation_summary_rollup(spark, sf_dir):
+    return tables.summary(order_relations(spark, sf_dir))
+
+
+@query("confidence_histogram", RELATIONS_SQL + " SELECT floor(confidence * 10) / 10 AS bucket, verdict, CAST(count(*) AS BIGINT) AS n FROM rel GROUP BY 1, 2")
+def confidence_histogram(spark, sf_dir):
+    return tables.confidence_histogram(order_relations(spark, sf_dir))
+
+
+@query("corpus_summary", "SELECT CAST(count(*) AS BIGINT) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(count(DISTINCT source) AS BIGINT) AS sources, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents")
+def corpus_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.count_distinct("source").alias("sources"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"))
+
+
+@query("doc_fact_counts", "WITH " + FACTS_SQL + " SELECT c_custkey AS doc_id, CAST(count(id) AS BIGINT) AS n_facts FROM customer LEFT JOIN f ON k = c_custkey GROUP BY 1")
+def doc_fact_counts(spark, sf_dir):
+    n = order_facts(spark, sf_dir).groupBy(F.col("k").alias("doc_id")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")).join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_facts"))
+
+
+@query("search_facts", "WITH " + FACTS_SQL + " SELECT id, confidence FROM f WHERE metric ILIKE '%CUSTOMER 12%' ORDER BY confidence DESC, id LIMIT 100")
+def search_facts(spark, sf_dir):
+    return tables.search_facts(order_facts(spark, sf_dir).select("id", "doc_id", "metric", "metric_key", "dims", "confidence"), "CUSTOMER 12").select("id", "confidence")
+
+
+@query("relations_filter", RELATIONS_SQL + " SELECT id, verdict, confidence, salience FROM rel WHERE confidence >= 0.5 AND verdict = 'contradicts' AND cross_document ORDER BY salience DESC, id LIMIT 300")
+def relations_filter(spark, sf_dir):
+    return tables.list_relations(order_relations(spark, sf_dir), verdict="contradicts", min_confidence=0.5, cross_document=True, limit=300).select("id", "verdict", "confidence", "salience")
+
+
+@query("fact_relations", RELATIONS_SQL + " SELECT DISTINCT x.id AS fact_id, rel.id FROM rel JOIN (SELECT id FROM f WHERE k % 50 = 0) x ON x.id = left_id OR x.id = right_id")
+def fact_relations(spark, sf_dir):
+    wanted = order_facts(spark, sf_dir).filter("k % 50 = 0").select(F.col("id").alias("fact_id"))
+    return tables.fact_relations(order_relations(spark, sf_dir).select("id", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")), wanted)
+
+
+@query("intra_doc_conflicts", RELATIONS_SQL + " SELECT id, salience FROM rel WHERE verdict = 'contradicts' AND NOT cross_document ORDER BY salience DESC, id LIMIT 15")
+def intra_doc_conflicts(spark, sf_dir):
+    return tables.intra_document_conflicts(order_relations(spark, sf_dir)).select("id", "salience")
+
+
+@query("same_value_two_metrics", "SELECT l_orderkey AS doc_id, CAST(l_quantity AS DOUBLE) AS value, array_to_string(list_sort(list_distinct(list(l_returnflag || l_linestatus)))[1:5], ',') AS metrics FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag || l_linestatus) > 1")
+def same_value_two_metrics(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("l_quantity").alias("value"), F.concat("l_returnflag", "l_linestatus").alias("metric"))
+    return tables.same_value_two_metrics(f).select("doc_id", "value", F.array_join("metrics", ",").alias("metrics"))
+
+
+@query("best_examples")
+def best_examples(spark, sf_dir):
+    return tables.best_examples(order_relations(spark, sf_dir))
+
+
+@query("incremental_link", "WITH " + FACTS_SQL + " SELECT l.id AS left_id, r.id AS right_id FROM f l JOIN f r ON l.metric_key = r.metric_key AND l.id < r.id AND greatest(l.fy, r.fy) >= 2000")
+def incremental_link(spark, sf_dir):
+    f = order_facts(spark, sf_dir)
+    old, new = f.filter("fy < 2000"), f.filter("fy >= 2000")
+    stats = relate.dimension_stats(relate.evaluate(relate.block_pairs(old)))
+    return incremental.link_new_facts(old, new, stats)[0].select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
+
+
+@query("streaming_dim_stats")
+def streaming_dim_stats(spark, sf_dir):
+    """Dimension statistics kept while files of facts arrive; the facts are written as four files, which a stream reads one by one."""
+    import uuid
+
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
+    facts = order_facts(spark, sf_dir).filter("k % 10 = 0")
+    facts.repartition(4, "metric_key").write.parquet(f"{folder}/in")
+    query_ = incremental.stream_links(spark, f"{folder}/in", f"{folder}/out", facts.schema)
+    query_.awaitTermination()
+    return spark.read.parquet(f"{folder}/out/stats").groupBy("dim").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("n_differs").alias("n_differs"))
