@@ -18,9 +18,9 @@ _FISCAL = r"\b(?:fy|fiscal(?:\s+year)?)\s*(\d{4}|\d{2})\b"
 _CALENDAR = r"(?:\b|\bcy\s*)(19\d{2}|20\d{2}|2100)\b"
 
 
-def _int(text: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found.cast("int"))
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _full_year(y: Column) -> Column:
@@ -41,29 +41,44 @@ def fiscal_window(end_year: Column, offset: int | Column = 0, months: int = 12,
 
 def parse_period(text: Column, compat: bool = False, start_month: int = FISCAL_START_MONTH) -> Column:
     """struct(label, start, end, granularity, calendar), or null. The first form that fits holds."""
-    t = F.trim(F.lower(F.regexp_replace(F.regexp_replace(text, "[–—]", "-"), r"(?U)\s+", " ")))
-    made = lambda window, granularity, calendar: F.struct(text.alias("label"), window[0].alias("start"), window[1].alias("end"), F.lit(granularity).alias("granularity"), F.lit(calendar).alias("calendar"))
+    clean = F.trim(F.lower(F.regexp_replace(F.regexp_replace(text, "[–—]", "-"), r"(?U)\s+", " ")))
+    made = lambda window, granularity, calendar: F.struct(window[0].alias("start"), window[1].alias("end"), F.lit(granularity).alias("granularity"), F.lit(calendar).alias("calendar"))
     fiscal = lambda year, offset=0, months=12: fiscal_window(year, offset, months, start_month)
-    quarter = made(fiscal(_end_year(_int(t, _QUARTER, 2), _int(t, _QUARTER, 3)), (_int(t, _QUARTER, 1) - 1) * 3, 3), "quarter", "fiscal")
-    second = F.regexp_extract(t, _HALF, 1).isin("h2", "second half")
-    half = made(fiscal(_end_year(_int(t, _HALF, 2), _int(t, _HALF, 3)), F.when(second, 6).otherwise(0), 6), "half", "fiscal")
-    month = F.array_position(F.lit(MONTHS), F.regexp_extract(t, _MONTH, 1)).cast("int")
-    year = _int(t, _MONTH, 2)
-    first = F.when(month > 0, F.make_date(year, F.greatest(month, F.lit(1)), F.lit(1)))
-    dated = t.rlike(r"\b(ended|ending|as at|as on|as of)\b") & t.rlike(_MONTH)
-    span = t.rlike(_SPAN)
-    if not compat:
-        span = span & (_end_year(_int(t, _SPAN, 1), _int(t, _SPAN, 2)) == _int(t, _SPAN, 1) + 1)
-    calendar = _int(t, _CALENDAR, 1)
-    return (
-        F.when(t.rlike(_QUARTER), quarter)
-        .when(t.rlike(_HALF), half)
-        .when(dated & (month == 3), made(fiscal(year), "year", "fiscal"))
-        .when(dated, made((first, F.last_day(first)), "point", "calendar"))
-        .when(span, made(fiscal(_end_year(_int(t, _SPAN, 1), _int(t, _SPAN, 2))), "year", "fiscal"))
-        .when(t.rlike(_FISCAL), made(fiscal(_full_year(_int(t, _FISCAL, 1))), "year", "fiscal"))
-        .when(t.rlike(_CALENDAR), made((F.make_date(calendar, F.lit(1), F.lit(1)), F.make_date(calendar, F.lit(12), F.lit(31))), "year", "calendar"))
-    )
+    # Each form is read on its own; a form that is not there gives nulls, and its window is not asked for.
+    forms = [(_QUARTER, 3), (_HALF, 3), (_MONTH, 2), (_SPAN, 2), (_FISCAL, 1), (_CALENDAR, 1)]
+
+    def chosen(x: Column) -> Column:
+        part = lambda form, group: F.regexp_extract(x["t"], form, group)
+        number = lambda form, group: F.try_to_number(F.nullif(part(form, group), F.lit("")), F.lit("9999")).cast("int")
+        quarter = made(fiscal(_end_year(number(_QUARTER, 2), number(_QUARTER, 3)), (number(_QUARTER, 1) - 1) * 3, 3), "quarter", "fiscal")
+        half = made(fiscal(_end_year(number(_HALF, 2), number(_HALF, 3)), F.when(part(_HALF, 1).isin("h2", "second half"), 6).otherwise(0), 6), "half", "fiscal")
+        month = F.array_position(F.lit(MONTHS), part(_MONTH, 1)).cast("int")
+        first = F.make_date(number(_MONTH, 2), month, F.lit(1))
+        year = number(_CALENDAR, 1)
+        return (
+            F.when(x["form"] == 0, quarter)
+            .when(x["form"] == 1, half)
+            .when((x["form"] == 2) & (month == 3), made(fiscal(number(_MONTH, 2)), "year", "fiscal"))
+            .when(x["form"] == 2, made((first, F.last_day(first)), "point", "calendar"))
+            .when(x["form"] == 3, made(fiscal(_end_year(number(_SPAN, 1), number(_SPAN, 2))), "year", "fiscal"))
+            .when(x["form"] == 4, made(fiscal(_full_year(number(_FISCAL, 1))), "year", "fiscal"))
+            .when(x["form"] == 5, made((F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31))), "year", "calendar"))
+        )
+
+    def form(t: Column) -> Column:
+        which = F.lit(None).cast("int")
+        for i, (pattern, _) in reversed(list(enumerate(forms))):
+            there = t.rlike(pattern)
+            if pattern == _MONTH:
+                there = there & t.rlike(r"\b(ended|ending|as at|as on|as of)\b")
+            if pattern == _SPAN and not compat:
+                a, b = F.regexp_extract(t, _SPAN, 1), F.regexp_extract(t, _SPAN, 2)
+                there = there & F.coalesce(F.right(b, F.lit(2)) == F.lpad(((F.try_to_number(a, F.lit("9999")) + 1) % 100).cast("int").cast("string"), 2, "0"), F.lit(False)) & ((F.length(b) == 2) | (F.left(b, F.lit(2)) == F.left((F.try_to_number(a, F.lit("9999")) + 1).cast("int").cast("string"), F.lit(2))))
+            which = F.when(there, F.lit(i)).otherwise(which)
+        return _let(F.struct(t.alias("t"), which.alias("form")), chosen)
+
+    found = _let(clean, form)
+    return _let(found, lambda p: F.when(p.isNotNull(), F.struct(text.alias("label"), p["start"].alias("start"), p["end"].alias("end"), p["granularity"].alias("granularity"), p["calendar"].alias("calendar"))))
 
 
 def period_key(period: Column) -> Column:

@@ -41,9 +41,9 @@ def dimensions(period_key: Column, subject: Column, qualifiers: Column) -> Colum
 
 def compare_dimensions(a: Column, b: Column) -> Column:
     """struct(agree, conflict, unspecified) of sorted names."""
-    both = F.map_zip_with(a, b, lambda _, x, y: F.when(x.isNull() | y.isNull(), "u").when(x == y, "a").otherwise("c"))
-    pick = lambda how: F.array_sort(F.map_keys(F.map_filter(both, lambda _, v: v == how)))
-    return F.struct(pick("a").alias("agree"), pick("c").alias("conflict"), pick("u").alias("unspecified"))
+    both = F.map_entries(F.map_zip_with(a, b, lambda _, x, y: F.when(x.isNull() | y.isNull(), "u").when(x == y, "a").otherwise("c")))
+    named = lambda e, how: F.sort_array(F.transform(F.filter(e, lambda x: x["value"] == how), lambda x: x["key"]))
+    return F.get(F.transform(F.array(both), lambda e: F.struct(named(e, "a").alias("agree"), named(e, "c").alias("conflict"), named(e, "u").alias("unspecified"))), F.lit(0))
 
 
 def block_pairs(facts: DataFrame, key: str = "metric_key", cap: int | None = BLOCK_CAP) -> DataFrame:
@@ -83,8 +83,8 @@ def evaluate(pairs: DataFrame) -> DataFrame:
     overlap = numbers.intervals_overlap(f("l.lo"), f("l.hi"), f("r.lo"), f("r.hi"))
     states = (f("l.kind") == "semantic") & (f("r.kind") == "semantic") & (F.coalesce(f("l.state"), F.lit("")) != "") & (F.coalesce(f("r.state"), F.lit("")) != "")
     agrees = F.when(numeric & family, overlap).when(states, F.lower(F.trim(f("l.state"))) == F.lower(F.trim(f("r.state"))))
-    d = compare_dimensions(f("l.dims"), f("r.dims"))
-    dims = F.struct(d["agree"].alias("agree"), F.filter(d["conflict"], lambda x: ~x.isin(*PROVENANCE)).alias("conflict"), F.filter(d["unspecified"], lambda x: ~x.isin(*PROVENANCE)).alias("unspecified"))
+    about = lambda names: F.filter(names, lambda x: ~x.isin(*PROVENANCE))
+    dims = F.get(F.transform(F.array(compare_dimensions(f("l.dims"), f("r.dims"))), lambda d: F.struct(d["agree"].alias("agree"), about(d["conflict"]).alias("conflict"), about(d["unspecified"]).alias("unspecified"))), F.lit(0))
     found = pairs.withColumn("agrees", agrees).filter(f("agrees").isNotNull())
     return found.select(
         "*", F.when(numeric, numbers.relative_gap(f("l.value"), f("r.value"))).alias("gap"), F.when(numeric, numbers.separation(f("l.value"), f("l.lo"), f("l.hi"), f("r.value"), f("r.lo"), f("r.hi"))).alias("separation"),

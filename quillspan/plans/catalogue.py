@@ -119,7 +119,7 @@ def precision_interval(spark, sf_dir):
 KEYS = [("Revenue from Operations (net)", "revenue from operation", "revenue from operations"), ("Total number of Services", "number services", "total number of services"), ("Gross NPAs per cent", "gross npa per", "gross npas per cent"), ("The total", "the total", "the total"), ("Delhivery Limited", "delhivery limited", "delhivery"), ("Acme (India) Pvt. Ltd.", "acme pvt ltd", "acme")]
 
 
-@query("metric_key", values([r[:2] for r in KEYS], "name, key") + " UNION ALL SELECT DISTINCT p_name || ' total', p_name FROM (SELECT list_aggregate(list_transform(string_split(lower(p_name), ' '), w -> CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END), 'string_agg', ' ') AS p_name FROM part) WHERE false")
+@query("metric_key", values([r[:2] for r in KEYS], "name, key"))
 def metric_keys(spark, sf_dir):
     return spark.createDataFrame([(r[0],) for r in KEYS], "name string").select("name", text.metric_key(F.col("name")).alias("key"))
 
@@ -141,8 +141,8 @@ def _scored(spark, sf_dir):
     return ground.page_scores(pages.drop("n_lines"), ground.candidates(pages))
 
 
-# Of each line the price counts (currency) and the tonnage counts with two digits or more... a bare small integer does not, and "Item 1" is structure.
-_SCORES = "WITH " + PAGES_SQL + ", q AS (SELECT doc_id, page, CAST(coalesce(len(list_filter(string_split(text, chr(10)), x -> x LIKE 'Item%')), 0) AS BIGINT) AS n_salient, state, length(trim(text)) AS len FROM pages_), r AS (SELECT *, len >= 120 AND (state OR n_salient >= 2) AS interesting, (n_salient + CASE WHEN state THEN 6.0 ELSE 0.0 END)::DOUBLE * CASE WHEN n_salient / greatest(1.0, len / 400.0) > 3 THEN 1.25 ELSE 1.0 END AS value FROM q)"
+# Of each line the price counts; the tonnage is a bare small integer, and "Item 1" is structure.
+_SCORES = "WITH " + PAGES_SQL + ", q AS (SELECT doc_id, page, CAST(coalesce(len(list_filter(string_split(text, chr(10)), lambda x: x LIKE 'Item%')), 0) AS BIGINT) AS n_salient, state, length(trim(text)) AS len FROM pages_), r AS (SELECT *, len >= 120 AND (state OR n_salient >= 2) AS interesting, (n_salient + CASE WHEN state THEN 6.0 ELSE 0.0 END)::DOUBLE * CASE WHEN n_salient / greatest(1.0, len / 400.0) > 3 THEN 1.25 ELSE 1.0 END AS value FROM q)"
 
 
 @query("page_gate", _SCORES + " SELECT doc_id, page, n_salient, state AS state_language, interesting FROM r")
@@ -285,7 +285,7 @@ def cross_block_pairs(spark, sf_dir):
     return relate.linked_pairs(f, links).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "score")
 
 
-@query("dim_diff", RELATIONS_SQL + " SELECT id, array_to_string(list_filter([CASE WHEN NOT cb THEN 'basis' END, CASE WHEN ap THEN 'period' END], x -> x IS NOT NULL), ',') AS agree, array_to_string(list_filter([CASE WHEN cb THEN 'basis' END, CASE WHEN cp THEN 'period' END], x -> x IS NOT NULL), ',') AS conflict, CASE WHEN up THEN 'period' ELSE '' END AS unspecified FROM e")
+@query("dim_diff", RELATIONS_SQL + " SELECT id, array_to_string(list_filter([CASE WHEN NOT cb THEN 'basis' END, CASE WHEN ap THEN 'period' END], lambda x: x IS NOT NULL), ',') AS agree, array_to_string(list_filter([CASE WHEN cb THEN 'basis' END, CASE WHEN cp THEN 'period' END], lambda x: x IS NOT NULL), ',') AS conflict, CASE WHEN up THEN 'period' ELSE '' END AS unspecified FROM e")
 def dim_diff(spark, sf_dir):
     e = relate.evaluate(relate.block_pairs(order_facts(spark, sf_dir)))
     return e.select("id", *[F.array_join(f"dims.{c}", ",").alias(c) for c in ("agree", "conflict", "unspecified")])
