@@ -10,7 +10,8 @@ neighbour is the same page again.
 
 Neighbours come from a range-partitioned sort by (host, path, id) in which a partition's first page is paired with its
 successor, so a host with a third of all pages is spread over many tasks and no host is gathered in one. Markup alone
-decides for a page without a neighbour.
+decides for a page without a neighbour in its partition (the only page of a host there), and what lies outside the
+<article> or <main> element of a page that has one is never its text.
 
 A null html counts as empty and gives an empty text; a null URL has the empty host and path. Repeated rows stay.
 """
@@ -142,7 +143,9 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
 
 
 def main_blocks(own: list[tuple[str, bool, bool]], near: list[tuple[str, bool, bool]] | None) -> list[str]:
-    """The page's text blocks without chrome and without the lines that it shares with its neighbour."""
+    """The page's text blocks without chrome and without the lines that it shares with its neighbour. If the page marks an article, only what is in it."""
+    if any(article and not chrome for _, chrome, article in own):
+        own = [b for b in own if b[2]]
     lines = [t for t, *_ in own]
     other = [t for t, *_ in near] if near is not None else []
     shared = shared_lines(lines, other) if other and other != lines else [False] * len(lines)
