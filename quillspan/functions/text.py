@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that a metric's key drops, words that it must keep, and corporate suffixes.
 STOP = "the a an of for in on at to and as total value amount figure level rs inr usd million millions crore crores lakh billion mn cr bn per cent percent percentage pct".split()
@@ -81,7 +82,11 @@ def salience(before: Column, token: Column, line: Column, number: Column, curren
     return level, reason
 
 
-@F.pandas_udf("array<struct<start:int,end:int,text:string,number:string,currency:string,post:string,line:string,before:string>>")
+def _struct(ints: str, strings: str) -> T.StructType:
+    return T.StructType([*[T.StructField(c, T.IntegerType()) for c in ints.split()], *[T.StructField(c, T.StringType()) for c in strings.split()]])
+
+
+@F.pandas_udf(T.ArrayType(_struct("start end", "text number currency post line before")))
 def scan_spans(texts: pd.Series) -> pd.Series:
     """Every quantity of a text with its offsets; numbers after structural words of their line are passed over."""
     quantity, structure = re.compile(QUANTITY, re.I), re.compile(STRUCTURE)
@@ -116,13 +121,13 @@ def _ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * _common(a, b) / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 times the normalised insertion-deletion similarity of the sorted words."""
     return pd.Series([_ratio(" ".join(sorted((x or "").split())), " ".join(sorted((y or "").split()))) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best of: shared words against shared words with either's own, and the two wholes; 100 if one's words are all among the other's."""
 
@@ -139,7 +144,7 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("struct<start:int,end:int,how:string>")
+@F.pandas_udf(_struct("start end", "how"))
 def find_quote(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """Where a quote stands in a text: as it is, else with any white space between its words, else with white space taken out of both."""
 
