@@ -32,7 +32,9 @@ from . import scratch
 BLOCK_TOKENS = 1 << 18
 CACHE_CHARS = 8_000_000
 LONGEST = 64
+TOGETHER = 200  # stretches in one call of the library
 _CUT = re.compile(r" (?=\S)")
+_WIDE = re.compile(r" (?!\S)")  # a space at which a text is not cut
 #: Lengths of the four numbers that a control byte describes.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -69,6 +71,10 @@ class Encoder:
 
         self.backend = Tokenizer.from_str(tokenizer)
         self.backend.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.backend.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a byte-level token has one character per byte
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)
         self.ids: dict[str, bytes] = {}
         self.chars = 0
 
@@ -79,14 +85,13 @@ class Encoder:
             self.chars = 0
         heads, cut = [], []
         for t in texts:
-            head, *parts = t.split(" ")
-            if "" in parts or any(p[0].isspace() for p in parts):
-                head, *parts = _CUT.split(t)
+            head, *parts = _CUT.split(t) if _WIDE.search(t) else t.split(" ")
             heads.append(head)
             cut.append(parts)
-        new = sorted(set().union(*cut).difference(self.ids))
-        self.ids.update(zip(new, self._ids([" " + s for s in new]), strict=True))
-        out = [head + b"".join([self.ids[s] for s in parts]) for head, parts in zip(self._ids(heads), cut, strict=True)]
+        new = list(set().union(*cut).difference(self.ids))
+        self._learn(new)
+        known = self.ids.__getitem__
+        out = [head + b"".join(map(known, parts)) for head, parts in zip(self._ids(heads), cut, strict=True)]
         for s in new:
             if len(s) > LONGEST:
                 del self.ids[s]
@@ -94,9 +99,22 @@ class Encoder:
                 self.chars += len(s)
         return out
 
-    def _ids(self, stretches: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(stretches), 20_000):
-            for e in self.backend.encode_batch_fast(stretches[i : i + 20_000], add_special_tokens=False):
+    def _learn(self, new: list[str]) -> None:
+        """Stretches go to the library many at a time, as one text; the bytes that each id stands for say where one ends."""
+        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        for group, raw in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
+            token_ends = np.cumsum(self.n_bytes[np.frombuffer(raw, dtype="<u2")])
+            ends = np.cumsum([1 + (len(s) if s.isascii() else len(s.encode())) for s in group])
+            at = np.searchsorted(token_ends, ends)
+            if at[-1] >= len(token_ends) or not np.array_equal(token_ends[at], ends):
+                self.ids.update(zip(group, self._ids([" " + s for s in group]), strict=True))  # a token across two stretches: not this kind of tokenizer
+                continue
+            stops = ((at + 1) * 2).tolist()
+            self.ids.update(zip(group, [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 1000):
+            for e in self.backend.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False):
                 yield np.array(e.ids, dtype="<u2").tobytes()
 
 
