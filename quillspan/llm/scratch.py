@@ -6,11 +6,14 @@ reads them, so a lost executor costs a re-read and not a recomputation of everyt
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +85,24 @@ def per_worker(name: str, key: object, make: Callable):
     if name not in store or store[name][0] != key:
         store[name] = (key, make())
     return store[name][1]
+
+
+def trim() -> None:
+    """Give memory that this Python worker has freed back to the system: workers outlive their tasks and stages."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        release(0)
+
+
+def trimmed(function: Callable) -> Callable:
+    """A function of a task's batches that trims its worker at the end of the task."""
+
+    @functools.wraps(function)
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        trim()
+
+    return run
