@@ -47,8 +47,12 @@ def compare_dimensions(a: Column, b: Column) -> Column:
 
 
 def block_pairs(facts: DataFrame, key: str = "metric_key", cap: int | None = BLOCK_CAP) -> DataFrame:
-    """(l, r) structs of all pairs within a key, l.id < r.id, among each key's first `cap` facts by id."""
+    """(l, r) structs of all pairs within a key, l.id < r.id, among each key's first `cap` facts by id.
+
+    The one exchange, by key, serves the cap and the join. Its partitions are not merged: pairs cost far more than the facts' bytes say.
+    """
     if cap is not None:
+        facts = facts.repartition(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
         facts = facts.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy("id"))).filter(F.col("__n") <= cap).drop("__n")
     one = facts.select(F.col(key).alias("k"), F.struct("*").alias("l"))
     two = facts.select(F.col(key).alias("k"), F.struct("*").alias("r"))

@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def yearly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, fy, cents): each customer's orders per fiscal year, summed in whole cents so that no order of summation shows."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")  # few bytes, but parsed and paired at length
     fy = F.year("o_orderdate") + F.when(F.month("o_orderdate") >= 4, 1).otherwise(0)
     return o.groupBy(F.col("o_custkey").alias("k"), fy.alias("fy")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
 
