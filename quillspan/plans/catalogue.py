@@ -279,9 +279,26 @@ def metric_adjudication(spark, sf_dir):
 
 @query("cross_block_pairs", "WITH " + _ADJ + ", d AS (SELECT DISTINCT p_name || ':' || p_type AS id, p_name FROM part) SELECT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id, lexical AS score FROM l JOIN d a ON a.p_name = key_a JOIN d b ON b.p_name = key_b")
 def cross_block_pairs(spark, sf_dir):
-    f = table(spark, sf_dir, "part").select(F.concat_ws(":", "p_name", "p_type").alias("id"), F.col("p_name").alias("metric_key")).distinct()
+    return _class_pairs(spark, sf_dir).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "score")
+
+
+def _class_pairs(spark, sf_dir):
+    """Parts of one name and type are linked alike, so they stand as one class with their number; cross_block_members says which they are."""
+    p = table(spark, sf_dir, "part").groupBy(F.concat_ws(":", "p_name", "p_type").alias("id"), F.col("p_name").alias("metric_key")).agg(F.count("*").alias("n_parts"))
     links = _links(spark, sf_dir).select("key_a", "key_b", F.col("lexical").alias("score"))
-    return relate.linked_pairs(f, links).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "score")
+    return relate.linked_pairs(p, links)
+
+
+@query("cross_block_sizes", "WITH " + _ADJ + ", d AS (SELECT p_name || ':' || p_type AS id, p_name, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1, 2) SELECT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id, lexical AS score, CASE WHEN a.id < b.id THEN a.n ELSE b.n END AS left_parts, CASE WHEN a.id < b.id THEN b.n ELSE a.n END AS right_parts FROM l JOIN d a ON a.p_name = key_a JOIN d b ON b.p_name = key_b")
+def cross_block_sizes(spark, sf_dir):
+    """The pairs of cross_block_pairs with the number of parts on either side: each stands for left_parts x right_parts linked pairs of parts."""
+    return _class_pairs(spark, sf_dir).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "score", F.col("l.n_parts").alias("left_parts"), F.col("r.n_parts").alias("right_parts"))
+
+
+@query("cross_block_members", "SELECT p_partkey, p_name || ':' || p_type AS class FROM part")
+def cross_block_members(spark, sf_dir):
+    """Every part with its class, the id in cross_block_pairs and cross_block_sizes."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(":", "p_name", "p_type").alias("class"))
 
 
 @query("dim_diff", RELATIONS_SQL + " SELECT id, array_to_string(list_filter([CASE WHEN NOT cb THEN 'basis' END, CASE WHEN ap THEN 'period' END], lambda x: x IS NOT NULL), ',') AS agree, array_to_string(list_filter([CASE WHEN cb THEN 'basis' END, CASE WHEN cp THEN 'period' END], lambda x: x IS NOT NULL), ',') AS conflict, CASE WHEN up THEN 'period' ELSE '' END AS unspecified FROM e")
