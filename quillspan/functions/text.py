@@ -121,6 +121,12 @@ def _ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * _common(a, b) / (len(a) + len(b))
 
 
+@F.pandas_udf(T.StringType())
+def sorted_words(a: pd.Series) -> pd.Series:
+    """The words in order, as token_sort_ratio compares them."""
+    return a.map(lambda x: " ".join(sorted((x or "").split())))
+
+
 @F.pandas_udf(T.DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 times the normalised insertion-deletion similarity of the sorted words."""

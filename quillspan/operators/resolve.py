@@ -11,22 +11,31 @@ from ..functions import text
 LEXICAL_SURE, LEXICAL_LEAST, SEMANTIC_LEAST = 95.0, 80.0, 0.70
 LEXICAL_NEIGHBOURS, SEMANTIC_NEIGHBOURS = 12, 16
 SUBJECT_LIKE_METRIC = 85.0
+KEY_BLOCKS = 16
 
 
 def lexical_links(facts: DataFrame, least: float = LEXICAL_LEAST, k: int = LEXICAL_NEIGHBOURS) -> DataFrame:
     """(key_a, key_b, score) of each key's nearest others by token-sort ratio, key_a < key_b.
 
-    Keys meet on shared character pairs and lengths: a ratio of r asks for lengths within r / (200 - r) of each other and for a
-    common character pair, unless the keys are very short; so the vocabulary is joined on pairs, not with itself.
+    All distinct keys are compared, block with block. Pairs are scored unless their lengths or the characters that they have in common,
+    each counted as often as in both, already put the ratio below least; a common subsequence is no longer than either, so none is lost.
     """
-    keys = facts.select(F.col("metric_key").alias("key")).filter("key <> ''").distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))), lambda i: F.substring("key", i, F.lit(2))))
-    exploded = keys.select("key", F.explode(grams).alias("g"))
-    a, b = exploded.select(F.col("key").alias("key_a"), "g"), exploded.select(F.col("key").alias("key_b"), "g")
-    ratio = least / (200.0 - least)
-    near = F.least(F.length("key_a"), F.length("key_b")) >= ratio * F.greatest(F.length("key_a"), F.length("key_b"))
-    pairs = a.join(b, "g").filter((F.col("key_a") < F.col("key_b")) & near).select("key_a", "key_b").distinct()
-    scored = pairs.withColumn("score", text.token_sort_ratio("key_a", "key_b")).filter(F.col("score") >= least)
+    keys = facts.select(F.col("metric_key").alias("key")).filter("key <> ''").distinct().withColumn("form", text.sorted_words("key"))
+    c = lambda i: F.substring("form", i, F.lit(1))
+    nth = lambda i: F.length(F.substring("form", F.lit(1), i)) - F.length(F.replace(F.substring("form", F.lit(1), i), c(i)))
+    chars = F.when(F.length("form") > 0, F.transform(F.sequence(F.lit(1), F.length("form")), lambda i: F.concat(c(i), nth(i).cast("string")))).otherwise(F.array().cast("array<string>"))
+    keys = keys.select("key", F.length("form").alias("n"), chars.alias("chars"), F.pmod(F.xxhash64("key"), F.lit(KEY_BLOCKS)).cast("int").alias("block"))
+    others = F.sequence(F.lit(0), F.lit(KEY_BLOCKS - 1))
+    meeting = lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"))
+    dealt = keys.select("*", F.explode(F.transform(others, meeting)).alias("cell")).repartition(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
+    a, b = (dealt.select("cell", *[F.col(x).alias(f"{x}_{side}") for x in ("key", "n", "chars", "block")]) for side in "ab")
+    # The keys of one block meet in its own cell only; those of two blocks in the cell of both.
+    once = F.when(F.col("block_a") == F.col("block_b"), F.col("cell.i") == F.col("cell.j")).otherwise(True)
+    both = F.col("n_a") + F.col("n_b")
+    may = lambda common: (both == 0) | (F.lit(200.0) * common / F.greatest(both, F.lit(1)) >= least)
+    near = a.join(b, "cell").filter((F.col("key_a") < F.col("key_b")) & once & may(F.least("n_a", "n_b")))
+    near = near.filter(may(F.size(F.array_intersect("chars_a", "chars_b"))))
+    scored = near.select("key_a", "key_b", text.token_sort_ratio("key_a", "key_b").alias("score")).filter(F.col("score") >= least)
     return _top(scored, k)
 
 

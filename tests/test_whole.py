@@ -4,8 +4,11 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quillspan.functions import text
+from quillspan.operators import resolve
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +35,28 @@ def test_every_part_is_in_the_linked_pairs(spark):
     sizes = entry.queries()["cross_block_sizes"](spark, SF).collect()
     assert all((r.left_parts, r.right_parts) == (len(of[r.left_id]), len(of[r.right_id])) for r in sizes)
     assert Counter(frozenset((x, y)) for r in sizes for x in of[r.left_id] for y in of[r.right_id]) == wanted
+
+
+def by_brute_force(keys, least, k=12):
+    """The links among distinct keys, each compared with each by the same ratio."""
+    form = {x: " ".join(sorted(x.split())) for x in keys}
+    score = {(a, b): text._ratio(form[a], form[b]) for a in keys for b in keys if a < b}
+    score = {p: v for p, v in score.items() if v >= least}
+    best = {x: sorted((-v, b if a == x else a) for (a, b), v in score.items() if x in (a, b))[:k] for x in keys}
+    return {(a, b): v for (a, b), v in score.items() if (-v, b) in best[a] or (-v, a) in best[b]}
+
+
+@pytest.mark.parametrize("least", [60.0, 80.0])
+def test_lexical_links_equal_brute_force(spark, least):
+    """Part names of sf0.01, and keys whose shared characters never stand side by side, whose words change places, or that are all space."""
+    names = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_name").distinct().collect()]
+    odd = ["a", "b", "ab", "axb", "abcdefgh", "axbxcxdxexfxgxhx", "net sale", "sale  net", "\u00e9t\u00e9 \U0001f642", "\U0001f642 ete", " ", "\t", "0 1", "1 01"]
+    for keys in (sorted(set(names)), odd):
+        given = spark.createDataFrame([(x,) for x in [*keys, *keys, "", None]], "metric_key string")
+        found = {(r.key_a, r.key_b): r.score for r in resolve.lexical_links(given, least).collect()}
+        assert found == by_brute_force(keys, least)
+
+
+def test_lexical_links_query(spark):
+    keys = sorted({r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select(text.metric_key(F.col("p_name"))).collect()})
+    assert {(r.key_a, r.key_b): r.score for r in entry.queries()["lexical_links"](spark, SF).collect()} == by_brute_force(keys, 60.0)
