@@ -2,28 +2,32 @@
 
 Every page is cut into text blocks at block-level tags. Blocks inside elements that never hold an article (nav, header,
 footer, aside, form, script, style and the like), or whose class, id or role names a menu, notice, advert, sidebar or
-comment area, are marked as chrome by their markup. Then each page is differenced with the page whose URL is nearest:
-pages are sorted by host and path, neighbours in that order are paired, the two pages' lines are aligned by a longest
-common subsequence, and shared lines are deleted as the site's template. A shared line inside an <article> or <main>
-element is kept, as copies of an article on one host share its text and not its template; so is every line if the
-neighbour is the same page again.
+comment area, are marked as chrome by their markup. Then each page is differenced with the nearest different pages by
+URL: pages are sorted by host and path, copies (pages of the same lines) that follow each other make a run, and a page's
+lines are aligned by a longest common subsequence with the run before and the run after its own on its host. Lines shared
+with either are deleted as the site's template. Markup checks this both ways: chrome is deleted though no neighbour has
+it, and a shared line inside an <article> or <main> element is kept, as articles on one host may share a passage.
 
-Neighbours come from a range-partitioned sort by (host, path, id) in which a partition's first page is paired with its
-successor, so a host with a third of all pages is spread over many tasks and no host is gathered in one. Markup alone
-decides for a page without a neighbour in its partition (the only page of a host there), and what lies outside the
-<article> or <main> element of a page that has one is never its text.
+Neighbours come from a range-partitioned sort by (host, path, id), so a host with a third of all pages is spread over many
+tasks and no host is gathered in one. A partition's first and last run wait for what lies beyond its ends: these runs and
+the ones beside them, at most four of a partition, go to one small task in order. Markup alone decides for the only page
+of a host and its copies; there, what lies outside the <article> or <main> element of a page that has one is not its text.
+Pages without text have no template and are passed over as neighbours.
 
 A null html counts as empty and gives an empty text; a null URL has the empty host and path. Repeated rows stay.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
+from itertools import chain
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,16 +146,52 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     return flags
 
 
-def main_blocks(own: list[tuple[str, bool, bool]], near: list[tuple[str, bool, bool]] | None) -> list[str]:
-    """The page's text blocks without chrome and without the lines that it shares with its neighbour. If the page marks an article, only what is in it."""
-    if any(article and not chrome for _, chrome, article in own):
+def main_blocks(own: Sequence[tuple[str, bool, bool]], near: list[list[str]]) -> list[str]:
+    """The page's text blocks without chrome and without the lines outside its article that it shares with a neighbour. Without neighbours, only what is in the article, if it marks one."""
+    if not near and any(article and not chrome for _, chrome, article in own):
         own = [b for b in own if b[2]]
     lines = [t for t, *_ in own]
-    other = [t for t, *_ in near] if near is not None else []
-    shared = shared_lines(lines, other) if other and other != lines else [False] * len(lines)
+    shared = [any(flags) for flags in zip(*(shared_lines(lines, other) for other in near), strict=True)] if near else [False] * len(lines)
     return [t for (t, chrome, article), same in zip(own, shared, strict=True) if not chrome and (article or not same)]
 
 
+class _Run:
+    """Pages of one host that follow each other and have the same lines, or none. Equal blocks are held once."""
+
+    def __init__(self, host: str) -> None:
+        self.host, self.lines, self.rows, self.at = host, [], [], 0
+        self.kinds: dict[tuple, tuple] = {}
+
+    def takes(self, host: str, lines: list[str]) -> bool:
+        return host == self.host and (not lines or not self.lines or lines == self.lines)
+
+    def add(self, id_, url: str | None, blocks: list) -> None:
+        kind = tuple(blocks)
+        self.lines = self.lines or [t for t, *_ in blocks]
+        self.rows.append((id_, url, self.kinds.setdefault(kind, kind)))
+
+    def texts(self, before: _Run | None, after: _Run | None) -> Iterator[tuple]:
+        near = [r.lines for r in (before, after) if r is not None and r.host == self.host]
+        text = {kind: " ".join(main_blocks(kind, near)) for kind in self.kinds}
+        for id_, url, kind in self.rows:
+            yield id_, url, text[kind], len(text[kind])
+
+
+def _runs(pages: Iterator[tuple]) -> Iterator[_Run]:
+    """Runs of (host, id, url, blocks), numbered."""
+    run, n = None, 0
+    for host, id_, url, blocks in pages:
+        if run is None or not run.takes(host, [t for t, *_ in blocks]):
+            if run is not None:
+                yield run
+                n += 1
+            run = _Run(host)
+            run.at = n
+        run.add(id_, url, blocks)
+    if run is not None:
+        yield run
+
+
 def _host_path(url: str | None) -> tuple[str, str]:
     try:
         parts = urlsplit(url or "")
@@ -168,46 +208,101 @@ def extract_text(df: DataFrame, html: str = "html", url: str = "url", id_: str =
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["host", "path", "id", "url"]
     sorted_ = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    id_type = pa.int64() if dict(rows.dtypes)["id"] == "bigint" else None
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(row: tuple, near: list | None) -> tuple:
-            text = " ".join(main_blocks(row[3], near))
-            return row[0], row[1], text, len(text)
+    id_sql = dict(rows.dtypes)["id"]
+    id_type = pa.int64() if id_sql == "bigint" else None
 
-        def out(done: list[tuple]) -> pa.RecordBatch:
-            ids, urls, texts, sizes = zip(*done, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["id", "url", "text", "n_chars"])
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for i, u, h, host in zip(*(batch.column(c) for c in ("id", "url", "html", "host")), strict=True):
+                yield host.as_py(), i.as_py(), u.as_py(), page_blocks(h.as_py())
 
-        before = None  # the page before, on any host
-        first = None  # a host's first page here, which waits for its successor
+    def out(made: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         held = 0
-        for batch in batches:
-            for i, u, h, host in zip(*(batch.column(c) for c in ("id", "url", "html", "host")), strict=True):
-                source = h.as_py()
-                row = (i.as_py(), u.as_py(), host.as_py(), page_blocks(source))
-                if before is not None and before[2] == row[2]:
-                    if first is not None:
-                        done.append(made(first, row[3]))
-                        first = None
-                    done.append(made(row, before[3]))
-                else:
-                    if first is not None:
-                        done.append(made(first, None))
-                    first = row
-                before = row
-                held += len(source)
-                if held > 8_000_000 and done:
-                    yield out(done)
-                    done, held = [], 0
-        if first is not None:
-            done.append(made(first, None))
+        for row in made:
+            done.append(row)
+            held += 200 + row[3]
+            if held > 4_000_000:
+                yield batch_of(done)
+                done, held = [], 0
         if done:
-            yield out(done)
+            yield batch_of(done)
+
+    def batch_of(done: list[tuple]) -> pa.RecordBatch:
+        ids, urls, texts, sizes = zip(*done, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["id", "url", "text", "n_chars"])
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All runs but a partition's first and last, which have both neighbours here."""
+
+        def made() -> Iterator[tuple]:
+            before = run = None
+            for after in _runs(pages(batches)):
+                if before is not None:
+                    yield from run.texts(before, after)
+                before, run = run, after
+
+        return out(made())
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first two and the last two runs; of a run that inner() has done, one page with text. Blocks equal to the row's before are left out."""
+        part = TaskContext.get().partitionId()
+        head: list[_Run] = []
+        tail: list[_Run] = []
+        for run in _runs(pages(batches)):
+            if len(head) < 2:
+                head.append(run)
+            else:
+                tail = [*tail[-1:], run]
+        chosen = [*head, *tail]
+        for n, run in enumerate(chosen):
+            waits = n in (0, len(chosen) - 1)
+            given = run.rows if waits else [next((r for r in run.rows if r[2]), run.rows[0])]
+            for start in range(0, len(given), 1000):
+                some = given[start : start + 1000]
+                kinds = [json.dumps(k) if i == 0 or k is not some[i - 1][2] else None for i, (_, _, k) in enumerate(some)]
+                size = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * size, pa.int32()), pa.array([run.at] * size, pa.int64()), pa.array(range(start, start + size), pa.int64()), pa.array([waits] * size), pa.array([run.host] * size, pa.string()), pa.array([r[0] for r in some], id_type), pa.array([r[1] for r in some], pa.string()), pa.array(kinds, pa.string())],
+                    names=["part", "run", "row", "waits", "host", "id", "url", "blocks"],
+                )
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ends of all partitions in order: runs that go on over an end become one, and those that waited get their texts."""
+
+        def merged() -> Iterator[tuple[_Run, bool]]:
+            run, waits, blocks, kind = None, False, [], None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["blocks"] is not None and r["blocks"] != kind:
+                        kind = r["blocks"]
+                        blocks = [tuple(b) for b in json.loads(kind)]
+                    if run is None or not run.takes(r["host"], [t for t, *_ in blocks]):
+                        if run is not None:
+                            yield run, waits
+                        run, waits = _Run(r["host"]), r["waits"]
+                    if r["waits"] or not run.rows:
+                        run.add(r["id"], r["url"], blocks)
+            if run is not None:
+                yield run, waits
+
+        def made() -> Iterator[tuple]:
+            before, run, waits = None, None, False
+            for after, next_waits in chain(merged(), [(None, False)]):
+                if waits:
+                    yield from run.texts(before, after)
+                before, run, waits = run, after, next_waits
+
+        return out(made())
 
-    schema = f"id {dict(rows.dtypes)['id']}, url string, text string, n_chars bigint"
-    return sorted_.select("id", "url", "html", "host").mapInArrow(extract, schema).withColumnsRenamed({"id": id_, "url": url})
+    # Both read the one sorted exchange: Spark reuses it, and its partitions are the same for either.
+    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true") != "true":
+        raise ValueError("extract_text needs spark.sql.exchange.reuse: the ends of partitions are read from the exchange of the pages")
+    given = sorted_.select("id", "url", "html", "host")
+    schema = f"id {id_sql}, url string, text string, n_chars bigint"
+    waiting = given.mapInArrow(ends, f"part int, run bigint, row bigint, waits boolean, host string, id {id_sql}, url string, blocks string")
+    finished = waiting.repartition(1).sortWithinPartitions("part", "run", "row").mapInArrow(joined, schema)
+    return given.mapInArrow(inner, schema).union(finished).withColumnsRenamed({"id": id_, "url": url})
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
