@@ -13,6 +13,7 @@ A null text counts as empty and has the end id alone. Documents with one doc_id
 
 Pre-tokenisation never crosses a space that is followed by a visible character, so a text is the sequence of its
 stretches from one such space to the next; stretches repeat, and each is encoded once per worker while it is remembered.
+A text that holds an added token's string, such as <|endoftext|>, gets that token's id there, as from the library by default.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.backend = Tokenizer.from_str(tokenizer)
-        self.backend.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.backend.get_added_tokens_decoder().values()]
         vocabulary = self.backend.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a byte-level token has one character per byte
         for token, i in vocabulary.items():
@@ -85,6 +86,10 @@ class Encoder:
             self.chars = 0
         heads, cut = [], []
         for t in texts:
+            if self._has_added(t):
+                heads.append(t)
+                cut.append([])
+                continue
             head, *parts = _CUT.split(t) if _WIDE.search(t) else t.split(" ")
             heads.append(head)
             cut.append(parts)
@@ -99,6 +104,12 @@ class Encoder:
                 self.chars += len(s)
         return out
 
+    def _has_added(self, text: str) -> bool:
+        """Whether an added token stands in the text, which then goes to the library whole, as such a token may reach over a space."""
+        if any(a in text for a in self.added):
+            return True
+        return self.backend.normalizer is not None and any(a in self.backend.normalizer.normalize_str(text) for a in self.added)
+
     def _learn(self, new: list[str]) -> None:
         """Stretches go to the library many at a time, as one text; the bytes that each id stands for say where one ends."""
         groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]

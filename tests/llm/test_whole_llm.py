@@ -1,8 +1,11 @@
 """Corpus operators that must do the whole job, against plain Python."""
 
+import zlib
+
+import numpy as np
 import pytest
 
-from quillspan.llm import html_text
+from quillspan.llm import html_text, token_file
 
 
 def extracted(spark, rows):
@@ -30,3 +33,20 @@ def test_differencing_decides_outside_an_article(spark):
     """Shared with the page on one side only: line one with the first page, line two with the third."""
     page = lambda n, *lines: (n, f"http://h.org/{n}", f"<nav>Menu {n}</nav><article><p>Text {n}<p>Shared passage</article>" + "".join(f"<div>{x}</div>" for x in lines))
     assert extracted(spark, [page(1, "one"), page(2, "one", "two", "own"), page(3, "two")]) == [(1, "Text 1 Shared passage"), (2, "Text 2 Shared passage own"), (3, "Text 3 Shared passage")]
+
+
+def test_added_tokens_get_their_ids(spark):
+    """Texts with an added token's string, against the library as it is loaded."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z <|endoftext|><|endoftext|>", "a <|endoftext b", "no <| mark |> here", "word " * 300 + "<|endoftext|> word"]
+    ids = token_file.encode_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path, 2)
+    by_rank = token_file.ranking(ids)
+    found = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_file.read_blocks(token_file.write_blocks(ids, by_rank), by_rank).collect()}
+    wanted = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert sum(t.token_to_id("<|endoftext|>") in w for w in wanted) == 4
+    starts = np.cumsum([0, *map(len, wanted)])
+    assert found == {i: (starts[i], len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(wanted)}
