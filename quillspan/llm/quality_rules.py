@@ -1,9 +1,12 @@
 """Quality rules: a table of thresholds compiled into one projection of Spark expressions.
 
-Words are runs of [^space, \\t \\n \\v \\f \\r]. Every measure is made within its own row, with built-in functions only, so no row
+Words are runs of [^space, \\t \\n \\v \\f \\r]. Stop words are found without case and without marks around them. Every measure is made within its own row, with built-in functions only, so no row
 travels and a hot source or a very long text costs its own length and nothing more. A null text counts as empty; an
 empty text has no words and fails. Input columns that share a name with a measure are replaced.
 
+The measures leave `measured` through a generator of one row. A filter on them, or on the verdict, stays above it: pushed below
+the projections it would repeat every measure within the next.
+
 n_repeat_words compares 64-bit hashes of a text's 3-word windows; two different windows of one text would have to share a hash to be miscounted.
 """
 
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SPACE = " \t\n\x0b\x0c\r"
+_MARKS = ".,;:!?\"'()[]«»“”„…-"
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -32,10 +36,11 @@ RULES: dict[str, tuple[str, float | None, float | None]] = {
     "repeats": ("n_repeat_words / greatest(n_words, 1)", None, 0.5),
 }
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words (long)."""
-    own = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words"}
+    """df with the MEASURES (long)."""
     base = df.select(F.struct(*scratch_columns(df)).alias("row"), F.btrim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(_SPACE)).alias("txt"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("raw"))
     words = F.when(F.col("txt") == "", F.array().cast("array<string>")).otherwise(F.split("txt", "[\\x20\\x09-\\x0D]+"))
     lines = F.filter(F.split("raw", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
@@ -45,7 +50,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     joined = F.array_join("w", "")
     b = a.select(
         "row", F.size("w").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        joined.alias("joined"), windows.alias("win"), F.size(F.filter("w", lambda x: x.isin(_variants()))).cast("long").alias("n_stop_words"),
+        joined.alias("joined"), windows.alias("win"), F.size(F.filter("w", lambda x: F.lower(F.btrim(x, F.lit(_MARKS))).isin(sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
     )
     # Most texts repeat no window; only the others are sorted.
     again = F.size(F.array_distinct("win")) < F.size("win")
@@ -55,20 +60,18 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     d = c.withColumn("p", F.sort_array(places))
     covered = F.aggregate(F.transform("p", lambda x, j: F.least(F.lit(3), F.coalesce(F.get("p", j + 1) - x, F.lit(3)))), F.lit(0), lambda n, x: n + x)
     chars = F.char_length("joined")
-    return d.select(
-        *[F.col(f"row.`{x}`") for x in df.columns if x.lower() not in own], "n_words", chars.cast("long").alias("word_chars"), (chars - F.char_length(F.regexp_replace("joined", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+    made = d.select(
+        "row", "n_words", chars.cast("long").alias("word_chars"), (chars - F.char_length(F.regexp_replace("joined", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_stop_words",
     )
+    one = made.select("row", F.explode(F.array(F.struct(*MEASURES))).alias("m"))
+    return one.select(*[F.col(f"row.`{x}`") for x in df.columns if x.lower() not in MEASURES], *[F.col(f"m.{x}").alias(x) for x in MEASURES])
 
 
 def scratch_columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
-def _variants() -> list[str]:
-    return sorted({v for w in STOP_WORDS for v in (w, w.capitalize(), w + ",", w + ".")})
-
-
 def verdict(rules: dict[str, tuple[str, float | None, float | None]] = RULES) -> Column:
     """The threshold table as one boolean expression."""
     ok = F.lit(True)
@@ -90,8 +93,7 @@ def judged(df: DataFrame, text: str = "text", rules: dict[str, tuple[str, float
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """df's rows that pass, with df's columns."""
     own = df.select(F.struct(*scratch_columns(df)).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    # Not a filter: pushed below the projections, it would repeat all measures within each other.
-    return judged(own, "__text").select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")).select("__row.*")
+    return judged(own, "__text").filter("kept").select("__row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
