@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: Elements of HTML by their part in a page.
 DROPPED = frozenset("script style noscript template nav header footer aside form button select option textarea iframe svg canvas object head title menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -300,9 +302,9 @@ def extract_text(df: DataFrame, html: str = "html", url: str = "url", id_: str =
         raise ValueError("extract_text needs spark.sql.exchange.reuse: the ends of partitions are read from the exchange of the pages")
     given = sorted_.select("id", "url", "html", "host")
     schema = f"id {id_sql}, url string, text string, n_chars bigint"
-    waiting = given.mapInArrow(ends, f"part int, run bigint, row bigint, waits boolean, host string, id {id_sql}, url string, blocks string")
-    finished = waiting.repartition(1).sortWithinPartitions("part", "run", "row").mapInArrow(joined, schema)
-    return given.mapInArrow(inner, schema).union(finished).withColumnsRenamed({"id": id_, "url": url})
+    waiting = scratch.map_batches(given, ends, f"part int, run bigint, row bigint, waits boolean, host string, id {id_sql}, url string, blocks string")
+    finished = scratch.map_batches(waiting.repartition(1).sortWithinPartitions("part", "run", "row"), joined, schema)
+    return scratch.map_batches(given, inner, schema).union(finished).withColumnsRenamed({"id": id_, "url": url})
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

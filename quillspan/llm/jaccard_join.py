@@ -117,7 +117,7 @@ def signatures(df: DataFrame, text: str, id_: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=["id", "key", "n", "sig"])
 
     rows = df.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("t")).filter("id IS NOT NULL")
-    return scratch.keep(rows.mapInArrow(scratch.trimmed(sign), "id bigint, key binary, n int, sig binary"), "near-sigs")
+    return scratch.keep(scratch.map_batches(rows, sign, "id bigint, key binary, n int, sig binary"), "near-sigs")
 
 
 def _descend(paths: np.ndarray, owner: np.ndarray, sig: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +154,7 @@ def _paths(rows: DataFrame, levels: int, roots: int | None) -> DataFrame:
                 paths, owner = _descend(start, owner, sig, levels)
                 yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column(0).take(pa.array(owner))], names=["path", "id"])
 
-    return rows.select("id", "sig", *([] if roots else ["path"])).mapInArrow(scratch.trimmed(walk), "path bigint, id bigint")
+    return scratch.map_batches(rows.select("id", "sig", *([] if roots else ["path"])), walk, "path bigint, id bigint")
 
 
 def _shared(paths: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _pairs_by_sketch(rows: DataFrame, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*_TILE, "id", "mates"])
 
     sorted_ = rows.repartition(parts, *_TILE).sortWithinPartitions(*_TILE, "id")
-    return sorted_.mapInArrow(scratch.trimmed(compare), "path bigint, a int, b int, id bigint, mates binary")
+    return scratch.map_batches(sorted_, compare, "path bigint, a int, b int, id bigint, mates binary")
 
 
 def _shared_counts(sets: list[np.ndarray], near: np.ndarray) -> np.ndarray:
@@ -285,7 +285,7 @@ def _links(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(linked @ copies[some].astype(np.int64)), pa.array(ids[some][root])], names=["id", "links", "root"])
 
     sorted_ = rows.repartition(parts, *_TILE).sortWithinPartitions(*_TILE, "id")
-    return sorted_.mapInArrow(scratch.trimmed(verify), "id bigint, links bigint, root bigint")
+    return scratch.map_batches(sorted_, verify, "id bigint, links bigint, root bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -337,7 +337,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_: str = "doc_id", thre
 
     texts = scratch.with_maybe(df.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("t")), scratch.key_filter(wanted, "id"), "hit", "id").filter("hit").select("id", "t")
     # Ids are those of the classes' first rows; if rows with different texts share an id, the size tells which is meant.
-    sets = texts.mapInArrow(scratch.trimmed(members), "id bigint, members binary")
+    sets = scratch.map_batches(texts, members, "id bigint, members binary")
     sets = sets.join(classes.select("id", "n", "copies"), "id").filter(F.octet_length("members") == F.col("n") * 8).dropDuplicates(["id"]).select("id", "copies", "members")
     links = scratch.keep(_links(near.join(sets, "id"), threshold, parts), "near-links")
     label = components(links.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))

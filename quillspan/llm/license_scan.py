@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: Phrases, as their words, and labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -129,7 +131,7 @@ def template_frequency(df: DataFrame, text: str, templates: dict[str, str]) -> d
                     total.update(vocabulary.intersection(block))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
 
-    counts = df.select(F.col(f"`{text}`")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = scratch.map_batches(df.select(F.col(f"`{text}`")), count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(w): n for w, n in counts.collect()}
 
 
@@ -159,7 +161,7 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] =
 
     kept = df.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in rest])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:]] + ["n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"])
-    return kept.mapInArrow(scan, schema)
+    return scratch.map_batches(kept, scan, schema)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 #: Bits of a key filter (1 MiB): the size of what is broadcast, whatever the number of keys. A fuller filter prunes less; it never loses a key.
 FILTER_BITS = 1 << 23
+#: Rows of an Arrow batch of whole texts, where the session keeps Spark's default of 10,000: a batch is held several times over, in both processes.
+ARROW_ROWS = 1000
+_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 _BUCKET = 32768  # bits of one bitmap of bitmap_construct_agg
 
 _written: dict[str, list[str]] = {}
@@ -79,14 +82,23 @@ def names(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+_STORE = "_quillspan_worker"
+
+
 def per_worker(name: str, key: object, make: Callable):
-    """What make() returns, made once per Python worker for a key: Spark reuses workers, so tasks find what an earlier one has made."""
-    store = sys.modules.setdefault("_quillspan_worker", types.ModuleType("_quillspan_worker")).__dict__
+    """What make() returns, made once per Python worker for a key: Spark reuses workers, so tasks find what an earlier one has made. Kept until a task of another function begins."""
+    store = sys.modules.setdefault(_STORE, types.ModuleType(_STORE)).__dict__
     if name not in store or store[name][0] != key:
         store[name] = (key, make())
     return store[name][1]
 
 
+def _forget(but: str | None) -> None:
+    store = sys.modules.get(_STORE)
+    for name in [k for k in (store.__dict__ if store else ()) if not k.startswith("__") and k != but]:
+        del store.__dict__[name]
+
+
 def trim() -> None:
     """Give memory that this Python worker has freed back to the system: workers outlive their tasks and stages."""
     import pyarrow as pa
@@ -97,12 +109,23 @@ def trim() -> None:
         release(0)
 
 
-def trimmed(function: Callable) -> Callable:
-    """A function of a task's batches that trims its worker at the end of the task."""
+def few_arenas() -> None:
+    """Threads of a library share two of glibc's heaps; else each thread keeps freed memory in its own."""
+    if tune := getattr(ctypes.CDLL(None), "mallopt", None):
+        tune(-8, 2)  # M_ARENA_MAX
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str, keeps: str | None = None) -> DataFrame:
+    """df.mapInArrow(function, schema) in bounded memory: small batches, and workers that forget what other functions left (all but `keeps`) and are trimmed at the end of each task."""
+    conf = df.sparkSession.conf
+    if conf.get(_ARROW_KEY) == _ARROW_DEFAULT:
+        conf.set(_ARROW_KEY, str(ARROW_ROWS))
 
     @functools.wraps(function)
     def run(batches: Iterator) -> Iterator:
+        few_arenas()
+        _forget(keeps)
         yield from function(batches)
         trim()
 
-    return run
+    return df.mapInArrow(run, schema)

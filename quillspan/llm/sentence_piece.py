@@ -33,7 +33,7 @@ MARK = "▁"
 #: Kinds of pieces and of models in the SentencePiece format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_CHARS = 3_000_000  # of stretches that a worker remembers
+CACHE_CHARS = 1_500_000  # of stretches that a worker remembers
 JOINT = "\x01"
 LONGEST = 64  # a longer stretch is not remembered
 #: Maximal stretches: markers, then characters that are none.
@@ -246,7 +246,7 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", with_ids: bool =
 
     kept = df.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in rest])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:]] + ["ids array<int>"] * with_ids + ["n_tokens bigint, ids_crc32 bigint, round_trip boolean, parity boolean"])
-    return kept.mapInArrow(scratch.trimmed(encode), schema)
+    return scratch.map_batches(kept, encode, schema, keeps="sentence_piece")
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
