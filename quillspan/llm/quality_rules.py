@@ -25,6 +25,8 @@ STOP_WORDS = (
     "le la les de des et un une du en que qui dans pour pas sur est au par avec il ce se plus "
     "el los las del y por con una su para al lo como más o pero sus"
 ).split()
+#: A longer word, marks included, is not looked up among them.
+_STOP_BYTES = 2 * max(len(w.encode()) for w in STOP_WORDS)
 
 #: name: (measure, least, most). A text is kept if every measure lies within its bounds; None: no bound.
 RULES: dict[str, tuple[str, float | None, float | None]] = {
@@ -50,7 +52,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     joined = F.array_join("w", "")
     b = a.select(
         "row", F.size("w").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        joined.alias("joined"), windows.alias("win"), F.size(F.filter("w", lambda x: F.lower(F.btrim(x, F.lit(_MARKS))).isin(sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
+        joined.alias("joined"), windows.alias("win"), F.size(F.filter("w", lambda x: (F.octet_length(x) <= _STOP_BYTES) & F.lower(F.btrim(x, F.lit(_MARKS))).isin(sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
     )
     # Most texts repeat no window; only the others are sorted.
     again = F.size(F.array_distinct("win")) < F.size("win")

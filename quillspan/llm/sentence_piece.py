@@ -17,6 +17,7 @@ result are replaced. Each text is encoded in its own row: nothing is shuffled.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -34,6 +35,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 CACHE_CHARS = 1_500_000  # of stretches that a worker remembers
+THREADS = "2"  # of the library, in each worker
 JOINT = "\x01"
 LONGEST = 64  # a longer stretch is not remembered
 #: Maximal stretches: markers, then characters that are none.
@@ -128,6 +130,8 @@ class Codec:
     """Encodes and decodes texts; made once per worker."""
 
     def __init__(self, model: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", THREADS)  # more would spin beside the other tasks of the machine
         import sentencepiece
 
         self.model = Model(model)
