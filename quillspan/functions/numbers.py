@@ -14,26 +14,29 @@ MASS = {"tonne": 1.0, "tonnes": 1.0, "ton": 1.0, "tons": 1.0, "mt": 1.0, "kg": 1
 PERCENT = ("%", "per cent", "percent", "pc", "percentage", "ppt", "pp", "percentage point", "percentage points")
 BASIS_POINTS = ("basis point", "basis points", "bps", "bp")
 RATIOS = ("days", "day", "times", "x", "ratio", "index", "per share")
-COUNTS = ("count", "number", "nos", "units")
+COUNTS = ("count", "number", "no", "nos", "units")
+# What makes any unit a percentage that holds it.
+PERCENT_INSIDE = ("per cent", "percent", "%")
 APPROXIMATE_SLACK = 10.0
 OVERLAP_SLACK = 1e-9
 
-_NUMBER = r"([-−–]?)\s*(\d{1,3}(?:[,\s ]\d{2,3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
+_GAP = r"[,\p{IsWhite_Space}]"
+_NUMBER = r"([-−–+]?)(\d{1,3}(?:" + _GAP + r"\d{2,3})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)"
 
 
 def parse_number(raw: Column) -> Column:
     """struct(value, ulp, negative, bound, sign_convention); null if the text holds no number. value is unsigned."""
-    low = F.lower(raw)
+    low = F.btrim(F.lower(raw), F.lit(" \t\n\r"))
     at_least = low.endswith("+") | low.rlike("[>≥]|over|more than|at least|in excess of|north of")
     at_most = low.rlike("[<≤]|under|less than|below|at most|up to")
     bound = F.when(at_least, "at_least").when(at_most, "at_most").when(low.rlike(r"[~≈]|about|approx|around|circa|c\."), "approximate").otherwise("exact")
-    digits = F.regexp_replace(F.regexp_extract(raw, _NUMBER, 2), r"[,\s ]", "")
-    bracketed = raw.rlike(r"\(\s*\d")
+    digits = F.regexp_replace(F.regexp_extract(raw, _NUMBER, 2), _GAP, "")
+    bracketed = raw.rlike(r"\(\s*[\d.,]") & raw.contains(")")
     fraction = F.regexp_extract(digits, r"\.(\d+)$", 1)
     parsed = F.struct(
         digits.cast("double").alias("value"),
         F.when(fraction == "", F.lit(1.0)).otherwise(F.pow(F.lit(10.0), -F.length(fraction))).alias("ulp"),
-        (bracketed | (F.regexp_extract(raw, _NUMBER, 1) != "")).alias("negative"),
+        (bracketed | F.regexp_extract(raw, _NUMBER, 1).isin("-", "−", "–")).alias("negative"),
         bound.alias("bound"),
         F.when(bracketed, "parenthesised_negative").otherwise("plain").alias("sign_convention"),
     )
@@ -63,23 +66,29 @@ def _plain(text: Column) -> Column:
 
 
 def normalise_unit(unit: Column, magnitude: Column | None = None, compat: bool = False) -> Column:
-    """struct(canonical, family, factor): value * factor is in the canonical unit.
+    """struct(canonical, family, factor): value * factor is in the canonical unit. A unit that is not known is its own, scaled by its magnitude word.
 
     compat: basis points count as percent, and currencies and ratio words are found inside other words.
     """
     words = r"\b(" + "|".join(sorted(MAGNITUDES, key=lambda w: (-len(w), w))) + r")\b"
-    made = lambda canonical, family, factor: F.struct(canonical.alias("canonical"), F.lit(family).alias("family"), factor.cast("double").alias("factor"))
+    made = lambda canonical, family, factor: F.struct(canonical.alias("canonical"), family.alias("family"), factor.cast("double").alias("factor"))
 
     def known(x: Column) -> Column:
         rest, factor = x["rest"], F.coalesce(F.try_element_at(_table(MAGNITUDES), x["word"]), F.lit(1.0))
+        of_all = F.lit(False)
+        for w in PERCENT_INSIDE:
+            of_all = of_all | rest.contains(w)
+        ratio = F.when(rest == "", "ratio").otherwise(rest)
+        currency = F.try_element_at(_table(CURRENCIES), _found(rest, tuple(CURRENCIES), not compat))
+        mass = _found(rest, tuple(MASS), True)
         return (
-            F.when(rest.isin(*PERCENT), made(F.lit("percent"), "percent", F.lit(1.0)))
-            .when(rest.isin(*BASIS_POINTS), made(F.lit("percent"), "percent", F.lit(1.0 if compat else 0.01)))
-            .when(_found(rest, RATIOS, not compat).isNotNull(), made(rest, "ratio", F.lit(1.0)))
-            .when(_found(rest, tuple(CURRENCIES), not compat).isNotNull(), made(F.concat(F.try_element_at(_table(CURRENCIES), _found(rest, tuple(CURRENCIES), not compat)), F.lit("_million")), "currency", factor / 1e6))
-            .when(rest.isin(*MASS), made(F.lit("tonne"), "mass", F.try_element_at(_table(MASS), rest) * factor))
-            .when((rest == "") | rest.isin(*COUNTS), made(F.lit("count"), "count", factor))
-            .otherwise(made(F.concat(F.lit("other:"), rest), "other", factor))
+            F.when(rest.isin(*BASIS_POINTS), made(F.lit("percent"), F.lit("percent"), F.lit(1.0 if compat else 0.01)))
+            .when(rest.isin(*PERCENT) | of_all, made(F.lit("percent"), F.lit("percent"), F.lit(1.0)))
+            .when(_found(rest, RATIOS, not compat).isNotNull(), made(ratio, F.concat(F.lit("ratio:"), ratio), F.lit(1.0)))
+            .when(currency.isNotNull(), made(F.concat(currency, F.lit("_million")), F.concat(F.lit("currency:"), currency), factor / 1e6))
+            .when(mass.isNotNull(), made(F.lit("tonne"), F.lit("mass"), F.try_element_at(_table(MASS), mass) * factor))
+            .when((rest == "") | rest.isin(*COUNTS), made(F.lit("count"), F.lit("count"), factor))
+            .otherwise(made(rest, F.concat(F.lit("other:"), rest), factor))
         )
 
     def cut(x: Column) -> Column:
@@ -122,9 +131,27 @@ def unit_family(canonical: Column) -> Column:
     return F.when(canonical.endswith("_million"), F.concat(F.lit("currency:"), F.regexp_extract(canonical, "^(.*)_million$", 1))).otherwise(canonical)
 
 
-def display(value: Column) -> Column:
-    """A number for readers: no decimals from 1000 on, up to two from 1 on, else four significant digits."""
+def display(value: Column, decimals: Column | None = None) -> Column:
+    """A number for readers: with so many decimals, else none from 1000 on, up to two from 1 on, and four significant digits below."""
     size = F.abs(value)
-    two = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
-    small = F.regexp_replace(F.format_string("%.10f", F.round(value, 6)), r"\.?0+$", "")
-    return F.when(size >= 1000, F.format_number(value, 0)).when(size >= 1, two).otherwise(small)
+    if decimals is None:
+        below = F.lit(4) - F.ceil(F.log10(F.when((size > 0) & (size < 1), size).otherwise(1.0)))
+        places = F.when(size >= 1000, 0).when(size >= 1, 2).otherwise(below).cast("int")
+        shown = F.regexp_replace(F.call_function("format_number", value, places), r"(\.\d*[1-9])0+$|\.0*$", "$1")
+    else:
+        shown = F.call_function("format_number", value, decimals)
+    return F.when(value.isNull(), "?").when(size == float("inf"), "unbounded").otherwise(shown)
+
+
+def display_interval(lo: Column, hi: Column) -> Column:
+    """Both ends with enough decimals to tell them apart, six at most."""
+    width = F.abs(hi - lo)
+    decimals = F.least(F.lit(6), F.greatest(F.lit(0), F.ceil(-F.log10(F.when(width > 0, width).otherwise(1.0))) + 1)).cast("int")
+    open_ = (F.abs(lo) == float("inf")) | (F.abs(hi) == float("inf"))
+    both = lambda a, b: F.concat(a, F.lit("–"), b)
+    return F.when(lo.isNull() | hi.isNull(), "?").when(open_, both(display(lo), display(hi))).when(width == 0, display(lo)).otherwise(both(display(lo, decimals), display(hi, decimals)))
+
+
+def display_separation(separation: Column) -> Column:
+    """How far apart two figures are, in rounding steps of the coarser."""
+    return F.when(separation.isNull(), "").when(separation > 100, " (far beyond any rounding)").otherwise(F.concat(F.lit(" ("), F.format_string("%.1f", separation), F.lit(" rounding steps of the coarser)")))

@@ -19,11 +19,12 @@ STATE = (
     r"is\s+(?:a|an|the)\s+\w+\s+director|independent\s+director|managing\s+director|chief\s+\w+\s+officer|registered\s+office|principal\s+place\s+of\s+business|listed\s+on|delisted|classified\s+as|designated\s+as)\b"
 )
 STRUCTURE = r"(?i)\b(note|notes|page|clause|section|schedule|para|paragraph|annexure|chapter|table|figure|chart|regulation|rule|item|sr\.?\s*no|s\.?\s*no)\b[\s.:]*$"
-# The form of a quantity.
-QUANTITY = (
-    r"(?P<pre>[₹$€£]|\bRs\.?|\bUS\$|\bINR\b|\bUSD\b)?\s*(?P<open>\()?(?P<num>\d{1,3}(?:[, ]\d{2,3})+(?:\.\d+)?|\d+\.\d+|\d{1,15})(?P<close>\))?\s*"
-    r"(?P<post>%|per\s?cent|percent|bps?|\b(?:cr|crore|crores|lakh|lakhs|mn|million|bn|billion|tn|trillion|k|thousand|th)\b|\b(?:tonnes?|tons?|kg|mt)\b|\b(?:days?|times|x)\b)?"
-)
+# What may stand before a scanned number, and after it (percentages; scales, masses and ratios as whole words).
+SCAN_BEFORE = (r"[₹$€£]", r"\bRs\.?", r"\bUS\$", r"\bINR\b", r"\bUSD\b")
+SCAN_PERCENT = ("%", r"per\s?cent", "percent", "bps?")
+SCAN_UNITS = "cr crore crores lakh lakhs mn million bn billion tn trillion k thousand th tonne tonnes ton tons kg mt day days times x".split()
+_DIGITS = r"\d{1,3}(?:[, ]\d{2,3})+(?:\.\d+)?|\d+\.\d+|\d{1,15}"
+QUANTITY = rf"(?P<currency>{'|'.join(SCAN_BEFORE)})?\s*\(?(?P<number>{_DIGITS})\)?\s*(?P<post>{'|'.join(SCAN_PERCENT)}|\b(?:{'|'.join(SCAN_UNITS)})\b)?"
 
 
 def metric_key(metric: Column) -> Column:
@@ -65,15 +66,16 @@ def has_state_language(text: Column) -> Column:
 
 
 def salience(before: Column, token: Column, line: Column, number: Column, currency: Column, post: Column) -> tuple[Column, Column]:
-    """(salience, reason) of a scanned quantity: the first rule that fits."""
-    scaled = F.coalesce(F.lower(post).rlike(r"^(%|per\s?cent|percent|bps?|cr|crores?|lakhs?|mn|million|bn|billion|tn|trillion|k|thousand|th)$"), F.lit(False))
-    unit = F.coalesce(post != "", F.lit(False))
+    """(salience, reason) of a scanned quantity: the first rule that fits. Any unit makes a measurement; a percent sign does not undo the form of a period or footnote."""
+    said = lambda c: F.coalesce(c != "", F.lit(False))
+    percent = F.lower(F.coalesce(post, F.lit(""))).rlike("^(%|per|bp)")
+    named = said(currency) | (said(post) & ~percent)
+    token, line = (F.btrim(c, F.lit(" \t\n\r")) for c in (token, line))
     rules = [
-        (F.lower(F.substring(before, -3, 3)).rlike(r"(fy|cy|q|h)$") & ~scaled & (F.coalesce(currency, F.lit("")) == ""), "low", "period_token"),
-        (F.trim(token).rlike(r"^\(\d{1,2}\)$") & ~unit, "low", "footnote_marker"),
-        ((F.trim(line) == F.trim(token)) & (F.length(F.trim(token)) <= 4) & ~unit, "low", "standalone_number"),
-        ((F.coalesce(currency, F.lit("")) != "") | scaled, "high", None),
-        (number.contains(",") | number.contains("."), "high", None),
+        (F.lower(F.substring(before, -3, 3)).rlike(r"(fy|cy|q|h)$") & ~named, "low", "period_token"),
+        (token.startswith("(") & token.endswith(")") & ~number.contains(".") & (F.length(F.replace(number, F.lit(","), F.lit(""))) <= 2) & ~named, "low", "footnote_marker"),
+        ((line == token) & (F.length(number) <= 4) & ~named & ~percent, "low", "standalone_number"),
+        (named | percent | number.contains(",") | number.contains("."), "high", None),
         (F.length(number) <= 2, "low", "bare_small_integer"),
     ]
     level, reason = F.lit("high"), F.lit(None).cast("string")
@@ -101,7 +103,7 @@ def scan_spans(texts: pd.Series) -> pd.Series:
             if structure.search(text[line_at:start]):
                 continue
             line = text[line_at : line_end if line_end >= 0 else len(text)]
-            found.append({"start": start, "end": end, "text": text[start:end], "number": m["num"], "currency": m["pre"] or "", "post": m["post"] or "", "line": line, "before": text[max(0, start - 3) : start]})
+            found.append({"start": start, "end": end, "text": text[start:end], "number": m["number"], "currency": m["currency"] or "", "post": m["post"] or "", "line": line, "before": text[max(line_at, start - 3) : start]})
         return found
 
     return texts.map(scan)

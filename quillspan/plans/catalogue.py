@@ -10,7 +10,7 @@ from ..operators import ground, relate, resolve
 from ..sources import tables
 from ..streaming import incremental
 from . import inputs
-from .inputs import FACTS_SQL, PAGES_SQL, RELATIONS_SQL, order_facts, order_relations, synthetic_pages, table
+from .inputs import CROSS_SQL, FACTS_SQL, PAGES_SQL, RELATIONS_SQL, cross_facts, cross_verdicts, order_facts, order_relations, synthetic_pages, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,36 +32,78 @@ def values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({names})"
 
 
-NUMBERS = [("8,142", 8142.0, 1.0, False, "exact"), ("81,415.38", 81415.38, 0.01, False, "exact"), ("(452)", 452.0, 1.0, True, "exact"), ("-4,516.08", 4516.08, 0.01, True, "exact"), ("~6.5", 6.5, 0.1, False, "approximate"), ("more than 50", 50.0, 1.0, False, "at_least"), ("up to 3.20", 3.2, 0.01, False, "at_most"), ("12 345", 12345.0, 1.0, False, "exact"), ("100+", 100.0, 1.0, False, "at_least"), ("none", None, None, None, None)]
+NUMBERS = [("8,142", 8142.0, 1.0, False, "exact"), ("81,415.38", 81415.38, 0.01, False, "exact"), ("(452)", 452.0, 1.0, True, "exact"), ("-4,516.08", 4516.08, 0.01, True, "exact"), ("~6.5", 6.5, 0.1, False, "approximate"), ("more than 50", 50.0, 1.0, False, "at_least"), ("up to 3.20", 3.2, 0.01, False, "at_most"), ("12 345", 12345.0, 1.0, False, "exact"), ("100+", 100.0, 1.0, False, "at_least"), ("none", None, None, None, None), (".56", 0.56, 0.01, False, "exact"), ("(452", 452.0, 1.0, False, "exact"), ("- 5", 5.0, 1.0, False, "exact"), ("over (7.5)", 7.5, 0.1, True, "at_least")]
 
 
-@query("number_parse", values(NUMBERS, "raw, value, ulp, negative, bound"))
+#: How an order's price is written, by its key: the form, and as SQL what it means.
+_WRITTEN = [("%s", "'exact'", "false"), ("(%s)", "'exact'", "true"), ("-%s", "'exact'", "true"), ("about %s", "'approximate'", "false"), ("up to %s", "'at_most'", "false"), ("%s+", "'at_least'", "false"), ("x.%s", "'exact'", "false")]
+_PRICE = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)"
+
+
+def _cases(values_: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN o_orderkey % {len(values_)} = {i} THEN {v}" for i, v in enumerate(values_)) + " END"
+
+
+def _raw_sql() -> str:
+    return _cases(["'" + f.replace("%s", "' || p || '") + "'" for f, *_ in _WRITTEN[:-1]] + ["'x.' || substr(p, length(p) - 1)"])
+
+
+_PRICES_SQL = f"SELECT {_raw_sql()} AS raw, {_cases(['CAST(p AS DOUBLE)'] * (len(_WRITTEN) - 1) + ['CAST(substr(p, length(p) - 2) AS DOUBLE)'])} AS value, 0.01::DOUBLE AS ulp, {_cases([n for *_, n in _WRITTEN])} AS negative, {_cases([b for _, b, _ in _WRITTEN])} AS bound FROM (SELECT o_orderkey, {_PRICE} AS p FROM orders)"
+
+
+@query("number_parse", values(NUMBERS, "raw, value, ulp, negative, bound") + " UNION ALL " + _PRICES_SQL)
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(r[0],) for r in NUMBERS], "raw string")
+    """Golden cases, and each order's price in one of several forms."""
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    forms = [F.concat(*[x for part in zip(f.split("%s"), [price, None], strict=True) for x in (F.lit(part[0]), part[1]) if x is not None]) for f, *_ in _WRITTEN[:-1]] + [F.concat(F.lit("x."), F.right(price, F.lit(2)))]
+    raw = F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        raw = F.when(F.col("o_orderkey") % len(forms) == i, f).otherwise(raw)
+    d = spark.createDataFrame([(r[0],) for r in NUMBERS], "raw string").unionByName(table(spark, sf_dir, "orders").select(raw.alias("raw")))
     return d.select("raw", numbers.parse_number(F.col("raw")).alias("p")).select("raw", "p.value", "p.ulp", "p.negative", "p.bound")
 
 
-UNITS = [("Rs. crore", None, "INR_million", "currency", 10.0), ("Rs. million", None, "INR_million", "currency", 1.0), ("tonnes", "million", "tonne", "mass", 1000000.0), ("kg", None, "tonne", "mass", 0.001), ("per cent", None, "percent", "percent", 1.0), ("bps", None, "percent", "percent", 0.01), ("lakh crore", None, "other:lakh", "other", 10000000.0), ("hours", None, "other:hours", "other", 1.0), ("times", None, "times", "ratio", 1.0), ("US$ bn", None, "USD_million", "currency", 1000.0), ("", "thousand", "count", "count", 1000.0)]
+UNITS = [("Rs. crore", None, "INR_million", "currency:INR", 10.0), ("Rs. million", None, "INR_million", "currency:INR", 1.0), ("tonnes", "million", "tonne", "mass", 1000000.0), ("kg", None, "tonne", "mass", 0.001), ("per cent", None, "percent", "percent", 1.0), ("bps", None, "percent", "percent", 0.01), ("lakh crore", None, "lakh", "other:lakh", 10000000.0), ("hours", None, "hours", "other:hours", 1.0), ("times", None, "times", "ratio:times", 1.0), ("US$ bn", None, "USD_million", "currency:USD", 1000.0), ("", "thousand", "count", "count", 1000.0), ("per cent of GDP", None, "percent", "percent", 1.0), ("% of GDP", None, "percent", "percent", 1.0), ("metric tonnes", None, "tonne", "mass", 1.0), ("no", None, "count", "count", 1.0), ("Nos.", "crore", "count", "count", 10000000.0), ("percentage points", None, "percent", "percent", 1.0)]
+#: Units of the table rows by the item's line number, with what they mean.
+ITEM_UNITS = [("Rs. crore", "INR_million", "currency:INR", 10.0), ("thousand metric tonnes", "tonne", "mass", 1000.0), ("per cent of sales", "percent", "percent", 1.0), ("lakh units", "count", "count", 100000.0), ("days", "days", "ratio:days", 1.0), ("EUR mn", "EUR_million", "currency:EUR", 1.0), ("million vans", "vans", "other:vans", 1000000.0)]
+
 
+def _item_units_sql() -> str:
+    pick = lambda i, quoted: "CASE " + " ".join(f"WHEN (l_linenumber + l_orderkey) % {len(ITEM_UNITS)} = {n} THEN " + (f"'{u[i]}'" if quoted else f"{u[i]!r}::DOUBLE") for n, u in enumerate(ITEM_UNITS)) + " END"
+    return f"SELECT {pick(0, True)} AS unit, NULL AS magnitude, {pick(1, True)} AS canonical, {pick(2, True)} AS family, {pick(3, False)} AS factor FROM lineitem"
 
-@query("unit_normalise", values(UNITS, "unit, magnitude, canonical, family, factor"))
+
+@query("unit_normalise", values(UNITS, "unit, magnitude, canonical, family, factor") + " UNION ALL " + _item_units_sql())
 def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([r[:2] for r in UNITS], "unit string, magnitude string")
+    """Golden cases, and a unit for every item."""
+    unit = F.element_at(F.lit([u[0] for u in ITEM_UNITS]), ((F.col("l_linenumber") + F.col("l_orderkey")) % len(ITEM_UNITS) + 1).cast("int"))
+    d = spark.createDataFrame([r[:2] for r in UNITS], "unit string, magnitude string").unionByName(table(spark, sf_dir, "lineitem").select(unit.alias("unit"), F.lit(None).cast("string").alias("magnitude")))
     return d.select("*", numbers.normalise_unit(F.col("unit"), F.col("magnitude")).alias("u")).select("unit", "magnitude", "u.*")
 
 
 AGREEMENT = [("8,142", "Rs. crore", None, "81,415.38", "Rs. million", None, True), ("127", "Rs. crore", None, "1,266.41", "Rs. million", None, True), ("76", "Rs. crore", None, "757.86", "Rs. million", None, True), ("1.4", "tonnes", "million", "1,429", "tonnes", "thousand", True), ("6.4", "per cent", None, "6.5", "per cent", None, False), ("6.5", "per cent", None, "6.6", "per cent", None, False), ("74,540.82", "Rs. million", None, "81,415.38", "Rs. million", None, False), ("(452)", "Rs. crore", None, "-4,516.08", "Rs. million", None, True), ("72,253.01", "Rs. million", None, "72,236.47", "Rs. million", None, False), ("~6.5", "per cent", None, "6.8", "per cent", None, True)]
 
 
-@query("value_agreement", values([(*r[:2], *r[3:5], r[6]) for r in AGREEMENT], "l_value, l_unit, r_value, r_unit, agrees"))
+# The agreement of an order's price in full and in thousands to one decimal; every fifth is off by a thousand.
+_IN_TENTHS = "((CAST(round(o_totalprice * 100) AS BIGINT) + 5000 + CASE WHEN o_orderkey % 5 = 0 THEN 100000 ELSE 0 END) // 10000)"
+_AGREE_SQL = f"""SELECT l_value, l_unit, r_value, r_unit, least(a * 1e-6 + 0.005 * 1e-6, b * 0.001 + 0.05 * 0.001) - greatest(a * 1e-6 - 0.005 * 1e-6, b * 0.001 - 0.05 * 0.001) > 1e-9 AS agrees, round(abs(a * 1e-6 - b * 0.001) / greatest(a * 1e-6, b * 0.001), 9) AS gap FROM (
+SELECT {_PRICE} AS l_value, 'USD' AS l_unit, {_IN_TENTHS} // 10 || '.' || {_IN_TENTHS} % 10 AS r_value, 'USD thousand' AS r_unit, CAST({_PRICE} AS DOUBLE) AS a, CAST({_IN_TENTHS} // 10 || '.' || {_IN_TENTHS} % 10 AS DOUBLE) AS b FROM orders)"""
+
+
+@query("value_agreement", values([(*r[:2], *r[3:5], r[6]) for r in AGREEMENT], "l_value, l_unit, r_value, r_unit, agrees").replace("SELECT *", "SELECT *, NULL::DOUBLE AS gap", 1) + " UNION ALL " + _AGREE_SQL)
 def value_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([r[:6] for r in AGREEMENT], "l_value string, l_unit string, l_magnitude string, r_value string, r_unit string, r_magnitude string")
+    """Golden cases, and each order's price in full against itself in thousands, with the relative gap."""
+    tenths = F.expr("(cast(round(o_totalprice * 100) as bigint) + 5000 + if(o_orderkey % 5 = 0, 100000, 0)) div 10000")
+    none = F.lit(None).cast("string")
+    both = table(spark, sf_dir, "orders").select(F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("l_value"), F.lit("USD").alias("l_unit"), none.alias("l_magnitude"), F.concat((tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string")).alias("r_value"), F.lit("USD thousand").alias("r_unit"), none.alias("r_magnitude"), F.lit(True).alias("table_row"))
+    d = spark.createDataFrame([(*r[:6], False) for r in AGREEMENT], "l_value string, l_unit string, l_magnitude string, r_value string, r_unit string, r_magnitude string, table_row boolean").unionByName(both)
     side = lambda s: numbers.build_interval(numbers.parse_number(F.col(f"{s}_value")), numbers.normalise_unit(F.col(f"{s}_unit"), F.col(f"{s}_magnitude")))
     d = d.select("*", side("l").alias("l"), side("r").alias("r"))
-    return d.select("l_value", "l_unit", "r_value", "r_unit", numbers.intervals_overlap(F.col("l.lo"), F.col("l.hi"), F.col("r.lo"), F.col("r.hi")).alias("agrees"))
+    gap = F.when(F.col("table_row"), F.round(numbers.relative_gap(F.col("l.canonical_value"), F.col("r.canonical_value")), 9))
+    return d.select("l_value", "l_unit", "r_value", "r_unit", numbers.intervals_overlap(F.col("l.lo"), F.col("l.hi"), F.col("r.lo"), F.col("r.hi")).alias("agrees"), gap.alias("gap"))
 
 
-PERIODS = [(t, s, e) for ts, s, e in [("FY24|FY2024|FY 2023-24|2023-24|year ended March 31, 2024", "2023-04-01", "2024-03-31"), ("FY25|2024-25|FY2024/25", "2024-04-01", "2025-03-31"), ("FY26|FY2025/26", "2025-04-01", "2026-03-31"), ("Q4 FY24", "2024-01-01", "2024-03-31"), ("Q1 FY25|Q1:2024-25", "2024-04-01", "2024-06-30"), ("H1 FY25", "2024-04-01", "2024-09-30"), ("CY2024|2024", "2024-01-01", "2024-12-31"), ("as at June 30, 2023", "2023-06-01", "2023-06-30"), ("no date", None, None)] for t in ts.split("|")]
+PERIODS = [(t, s, e) for ts, s, e in [("FY24|FY2024|FY 2023-24|2023-24|year ended March 31, 2024", "2023-04-01", "2024-03-31"), ("FY25|2024-25|FY2024/25", "2024-04-01", "2025-03-31"), ("FY26|FY2025/26", "2025-04-01", "2026-03-31"), ("Q4 FY24", "2024-01-01", "2024-03-31"), ("Q1 FY25|Q1:2024-25", "2024-04-01", "2024-06-30"), ("H1 FY25", "2024-04-01", "2024-09-30"), ("CY2024|2024", "2024-01-01", "2024-12-31"), ("as at June 30, 2023", "2023-06-01", "2023-06-30"), ("FY'24|as at March, 2024", "2023-04-01", "2024-03-31"), ("Q4 FY'24", "2024-01-01", "2024-03-31"), ("first half of FY25", "2024-04-01", "2024-09-30"), ("fiscal year 2023", "2022-04-01", "2023-03-31"), ("5000 units in 2024", None, None), ("no date", None, None)] for t in ts.split("|")]
 
 
 @query("period_goldens", values(PERIODS, "text, starts, ends"))
@@ -119,14 +161,30 @@ def precision_interval(spark, sf_dir):
 KEYS = [("Revenue from Operations (net)", "revenue from operation", "revenue from operations"), ("Total number of Services", "number services", "total number of services"), ("Gross NPAs per cent", "gross npa per", "gross npas per cent"), ("The total", "the total", "the total"), ("Delhivery Limited", "delhivery limited", "delhivery"), ("Acme (India) Pvt. Ltd.", "acme pvt ltd", "acme")]
 
 
-@query("metric_key", values([r[:2] for r in KEYS], "name, key"))
+def _words_sql(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+# p_name is two plain words, p_type one, so what stays are the words that are neither stop words nor plural.
+_NAMES_SQL = f"""SELECT name, array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9_%\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '),
+ lambda w: list_contains({_words_sql(text.KEEP)}, w) OR NOT list_contains({_words_sql(text.STOP)}, w)), lambda w: CASE WHEN NOT list_contains({_words_sql(text.KEEP)}, w) AND length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN substr(w, 1, length(w) - 1) ELSE w END), ' ') AS key
+ FROM (SELECT 'Total value of ' || p_name || 's (' || p_brand || '), ' || p_type || ' grades' AS name FROM part)"""
+
+
+@query("metric_key", values([r[:2] for r in KEYS], "name, key") + " UNION ALL " + _NAMES_SQL)
 def metric_keys(spark, sf_dir):
-    return spark.createDataFrame([(r[0],) for r in KEYS], "name string").select("name", text.metric_key(F.col("name")).alias("key"))
+    """Golden cases, and a metric named after every part."""
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("Total value of "), "p_name", F.lit("s ("), "p_brand", F.lit("), "), "p_type", F.lit(" grades")).alias("name"))
+    d = spark.createDataFrame([(r[0],) for r in KEYS], "name string").unionByName(p)
+    return d.select("name", text.metric_key(F.col("name")).alias("key"))
 
 
-@query("subject_key", values([(r[0], r[2]) for r in KEYS], "name, key"))
+@query("subject_key", values([(r[0], r[2]) for r in KEYS], "name, key") + " UNION ALL SELECT 'The ' || s_name || ' Trading Co. (' || s_nationkey || ') Pvt. Ltd' AS name, 'the ' || replace(lower(s_name), '#', ' ') || ' trading' AS key FROM supplier")
 def subject_keys(spark, sf_dir):
-    return spark.createDataFrame([(r[0],) for r in KEYS], "name string").select("name", text.subject_key(F.col("name")).alias("key"))
+    """Golden cases, and a company named after every supplier."""
+    s_ = table(spark, sf_dir, "supplier").select(F.concat(F.lit("The "), "s_name", F.lit(" Trading Co. ("), F.col("s_nationkey").cast("string"), F.lit(") Pvt. Ltd")).alias("name"))
+    d = spark.createDataFrame([(r[0],) for r in KEYS], "name string").unionByName(s_)
+    return d.select("name", text.subject_key(F.col("name")).alias("key"))
 
 
 @query("fact_id_dedup", "WITH t AS (SELECT substr(sha1(doc_id || '#p0:0-' || n_chars || '|' || source || '|' || n_chars || '||lang=' || lang), 1, 16) AS id, doc_id, (doc_id % 7) / 10.0::DOUBLE AS confidence FROM (SELECT doc_id // 2 AS doc_id, source, n_chars // 500 AS n_chars, lang FROM documents)) SELECT id, max(confidence) AS confidence, min(doc_id) AS doc_id FROM t GROUP BY id")
@@ -137,22 +195,21 @@ def fact_id_dedup(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    pages = synthetic_pages(spark, sf_dir)
-    return ground.page_scores(pages.drop("n_lines"), ground.candidates(pages))
+    return ground.page_scores(synthetic_pages(spark, sf_dir).drop("n_lines"))
 
 
-# Of each line the price counts; the tonnage is a bare small integer, and "Item 1" is structure.
-_SCORES = "WITH " + PAGES_SQL + ", q AS (SELECT doc_id, page, CAST(coalesce(len(list_filter(string_split(text, chr(10)), lambda x: x LIKE 'Item%')), 0) AS BIGINT) AS n_salient, state, length(trim(text)) AS len FROM pages_), r AS (SELECT *, len >= 120 AND (state OR n_salient >= 2) AS interesting, (n_salient + CASE WHEN state THEN 6.0 ELSE 0.0 END)::DOUBLE * CASE WHEN n_salient / greatest(1.0, len / 400.0) > 3 THEN 1.25 ELSE 1.0 END AS value FROM q)"
+# Of each line the tonnage and the price count; "Item 1" is structure, the last line's figures are a period and a footnote.
+_SCORES = "WITH " + PAGES_SQL + ", q AS (SELECT doc_id, page, 2 * n AS n_salient, state, length(trim(text)) AS len FROM pages_), r AS (SELECT *, len >= 120 AND (state OR n_salient >= 2) AS interesting, (n_salient + CASE WHEN state THEN 6.0 ELSE 0.0 END)::DOUBLE * CASE WHEN n_salient / greatest(1.0, len / 400.0) > 3 THEN 1.25 ELSE 1.0 END AS value FROM q)"
 
 
 @query("page_gate", _SCORES + " SELECT doc_id, page, n_salient, state AS state_language, interesting FROM r")
 def page_gate(spark, sf_dir):
-    return _scored(spark, sf_dir).select("doc_id", "page", F.col("n_salient").cast("bigint").alias("n_salient"), "state_language", "interesting")
+    return _scored(spark, sf_dir).select("doc_id", "page", "n_salient", "state_language", "interesting")
 
 
-@query("page_value_topk", _SCORES + " SELECT doc_id, page, value FROM r WHERE interesting QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, page) <= 3")
+@query("page_value_topk", _SCORES + ", t AS (SELECT doc_id, page, value FROM r WHERE interesting QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, page) <= 3) SELECT doc_id, page, value, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS INTEGER) AS place FROM t")
 def page_value_topk(spark, sf_dir):
-    return ground.page_budget(_scored(spark, sf_dir).filter("interesting"), 3).select("doc_id", "page", "value")
+    return ground.page_budget(_scored(spark, sf_dir).filter("interesting"), 3).select("doc_id", "page", "value", "place")
 
 
 @query("state_language", "WITH " + PAGES_SQL + " SELECT doc_id, page FROM pages_ WHERE state")
@@ -160,63 +217,250 @@ def state_language(spark, sf_dir):
     return synthetic_pages(spark, sf_dir).filter(text.has_state_language(F.col("text"))).select("doc_id", "page")
 
 
-@query("salience_class", "WITH " + PAGES_SQL + ", q AS (SELECT unnest(string_split(text, chr(10))) AS line FROM pages_) SELECT 'high' AS salience, NULL AS reason, 'Rs.' AS currency, CAST(count(*) AS BIGINT) AS n FROM q WHERE line LIKE 'Item%' UNION ALL SELECT 'low', 'bare_small_integer', '', CAST(count(*) AS BIGINT) FROM q WHERE line LIKE 'Item%'")
+@query("salience_class", "WITH " + PAGES_SQL + ", q AS (SELECT sum(n) AS n, count(*) AS pages FROM pages_) SELECT 'high' AS salience, NULL AS reason, 'Rs.' AS currency, CAST(n AS BIGINT) AS n FROM q UNION ALL SELECT 'high', NULL, '', CAST(n AS BIGINT) FROM q UNION ALL SELECT 'low', 'period_token', '', pages FROM q UNION ALL SELECT 'low', 'footnote_marker', '', pages FROM q")
 def salience_class(spark, sf_dir):
     return ground.candidates(synthetic_pages(spark, sf_dir)).groupBy("salience", "reason", "currency").agg(F.count("*").alias("n"))
 
 
-@query("quantity_scan")
+_LINES = "WITH " + PAGES_SQL + """, l AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pages_),
+o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id, page ORDER BY i ROWS UNBOUNDED PRECEDING) - length(line) - 1 AS pos FROM l),
+c AS (SELECT doc_id, page, line, CAST(pos + strpos(line, ': ') + 1 AS INTEGER) AS a, CAST(pos + strpos(line, ' for ') - 1 AS INTEGER) AS b, CAST(pos + strpos(line, 'Rs. ') - 1 AS INTEGER) AS p, CAST(pos + length(line) AS INTEGER) AS e FROM o WHERE line LIKE 'Item%')"""
+
+
+@query("quantity_scan", _LINES + """ SELECT doc_id, page, a AS "start", b AS "end", line[strpos(line, ': ') + 2:strpos(line, ' for ') - 1] AS text, '' AS currency, 'tonnes' AS post FROM c UNION ALL SELECT doc_id, page, p, e, line[strpos(line, 'Rs. '):], 'Rs.', 'million' FROM c""")
 def quantity_scan(spark, sf_dir):
     return ground.salient(synthetic_pages(spark, sf_dir)).select("doc_id", "page", "start", "end", "text", "currency", "post")
 
 
+def _quotes(pages):
+    """Every page's first line, and a quote that is nowhere."""
+    return pages.select("doc_id", "page", F.explode(F.array(F.split("text", "\n")[0], F.lit("not there"))).alias("quote"))
+
+
 def _covered(spark, sf_dir):
     pages = synthetic_pages(spark, sf_dir)
-    spans = pages.select("doc_id", "page", F.lit(0).alias("s"), F.expr("instr(concat(text, '\n'), '\n') - 1").alias("e"))
-    return ground.coverage(ground.candidates(pages), spans)
+    return ground.coverage(pages, _quotes(pages))
 
 
-@query("coverage_by_page", "WITH " + PAGES_SQL + " SELECT doc_id, page, n AS detected, CAST(1 AS BIGINT) AS covered, 1.0::DOUBLE / n AS ratio FROM pages_")
+@query("coverage_by_page", "WITH " + PAGES_SQL + " SELECT doc_id, page, 2 * n AS detected, CAST(2 AS BIGINT) AS covered, 2.0::DOUBLE / (2 * n) AS ratio FROM pages_")
 def coverage_by_page(spark, sf_dir):
-    return _covered(spark, sf_dir)
+    return _covered(spark, sf_dir).drop("missed")
+
+
+@query("coverage_missed", _LINES.replace("WHERE line LIKE 'Item%'", "WHERE line LIKE 'Item%' AND i > 1") + """, m AS (SELECT doc_id, page, a AS "start", line[strpos(line, ': ') + 2:strpos(line, ' for ') - 1] AS text, line FROM c UNION ALL SELECT doc_id, page, p, line[strpos(line, 'Rs. '):], line FROM c) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY "start") <= 40""")
+def coverage_missed(spark, sf_dir):
+    """What each page's quotes leave out."""
+    return _covered(spark, sf_dir).select("doc_id", "page", F.inline("missed")).select("doc_id", "page", "start", "text", "line")
+
+
+_THIN = _SCORES.replace("q AS (SELECT doc_id, page,", "q AS (SELECT doc_id, page, n,", 1) + ", w AS (SELECT doc_id, page, n_salient AS detected, CAST(2 AS BIGINT) AS covered, round(2.0::DOUBLE / n_salient, 3) AS ratio FROM r WHERE interesting)"
+
+
+@query("coverage_report", _THIN + " SELECT doc_id, CAST(sum(detected) AS BIGINT) AS quantities_detected, CAST(sum(covered) AS BIGINT) AS quantities_in_facts, round(sum(covered)::DOUBLE / sum(detected), 4) AS coverage_ratio FROM w GROUP BY 1")
+def coverage_report(spark, sf_dir):
+    pages = synthetic_pages(spark, sf_dir)
+    return ground.coverage_report(pages, _quotes(pages))[0]
 
 
-@query("worst_pages", "WITH " + PAGES_SQL + " SELECT doc_id, page, n AS detected, CAST(1 AS BIGINT) AS covered, 1.0::DOUBLE / n AS ratio FROM pages_ WHERE n >= 8 ORDER BY ratio, doc_id, page LIMIT 12")
+_THINNEST = " SELECT doc_id, page, detected, covered, ratio FROM w WHERE detected >= 8 AND ratio < 0.5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ratio, detected DESC, page) <= 12"
+
+
+@query("thin_pages", _THIN + _THINNEST)
+def thin_pages(spark, sf_dir):
+    """Each document's pages of least coverage."""
+    pages = synthetic_pages(spark, sf_dir)
+    return ground.coverage_report(pages, _quotes(pages))[1].drop("examples")
+
+
+@query("worst_pages", _THIN + f" SELECT * FROM ({_THINNEST}) ORDER BY ratio, detected DESC, doc_id, page LIMIT 12")
 def worst_pages(spark, sf_dir):
-    return ground.worst_pages(_covered(spark, sf_dir))
+    pages = synthetic_pages(spark, sf_dir)
+    interesting = ground.page_scores(pages).filter("interesting")
+    return ground.worst_pages(ground.coverage(interesting, _quotes(pages)), limit=12).drop("examples")
 
 
-@query("batch_pack")
+@query("batch_pack", """WITH RECURSIVE d AS (SELECT source AS doc_id, doc_id AS page, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+b AS (SELECT doc_id, page, i, 0 AS batch, 1 AS held, n AS chars FROM d WHERE i = 1 UNION ALL SELECT d.doc_id, d.page, d.i, CASE WHEN held >= 8 OR chars + n > 45000 THEN batch + 1 ELSE batch END, CASE WHEN held >= 8 OR chars + n > 45000 THEN 1 ELSE held + 1 END, CASE WHEN held >= 8 OR chars + n > 45000 THEN n ELSE chars + n END FROM b JOIN d ON d.doc_id = b.doc_id AND d.i = b.i + 1)
+SELECT doc_id, page, batch FROM b""")
 def batch_pack(spark, sf_dir):
     return ground.batches(table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text"), 8, 45_000)
 
 
+@query("profile_excerpts", """WITH d AS (SELECT source AS doc_id, doc_id AS page, substr(text, 1, 3000) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+s AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY page) AS spent FROM d WHERE i <= 4) SELECT doc_id, string_agg('[page ' || page || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY page) AS excerpt FROM s WHERE spent <= 9000 GROUP BY 1""")
+def profile_excerpts(spark, sf_dir):
+    return ground.profile_excerpts(table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text"))
+
+
+@query("profiles", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Report ' || doc_id ELSE source END AS title, CASE WHEN doc_id % 3 = 0 THEN 'house' ELSE '' END AS publisher, CASE WHEN doc_id % 3 = 0 THEN 'scope=' || lang ELSE '' END AS qualifiers FROM documents")
+def profiles(spark, sf_dir):
+    """Every third document has an answer with a title and qualifiers, every third a broken one, the rest none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), "lang")
+    good = F.concat(F.lit('```json\n{"title": " Report '), F.col("doc_id").cast("string"), F.lit(' ", "publisher": "house", "default_qualifiers": {"scope": "'), "lang", F.lit('", "basis": null}}\n```'))
+    answers = d.filter("doc_id % 3 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 0, good).otherwise(F.lit("no object here")).alias("answer"))
+    return ground.profiles(d, answers).select("doc_id", "title", "publisher", text.rendered(F.col("default_qualifiers")).alias("qualifiers"))
+
+
 def _proposals(spark, sf_dir):
-    """Per page of the first line's price; every fifth value is altered, every seventh quote belongs to another page, some are empty."""
+    """Per page of the first line's price: values altered, missing or without digits, quotes of other pages, empty ones and ones that are nowhere, and a metric without a name."""
     pages = synthetic_pages(spark, sf_dir).withColumn("quote", F.split("text", "\n")[0])
+    n = F.col("page")
     price = F.regexp_extract("quote", r"Rs\. ([0-9.]+)", 1)
-    wrong = F.when(F.col("page") % 5 == 0, F.lit("99999999999")).otherwise(price)
-    moved = F.when(F.col("page") % 7 == 0, F.col("page") + 1_000_000_000).otherwise(F.col("page"))
-    quote = F.when(F.col("page") % 11 == 0, F.lit("")).when(F.col("page") % 13 == 0, F.lit("not there at all")).otherwise(F.col("quote"))
-    p = pages.select("doc_id", F.lit(0).alias("batch"), moved.alias("page"), quote.alias("quote"), F.lit("numeric").alias("kind"), F.lit("Freight value").alias("metric"), wrong.alias("value_raw"), F.lit("Rs. million").alias("unit_raw"), F.lit(None).cast("string").alias("state"), F.lit("FY24").alias("period_raw"), F.lit(None).cast("string").alias("subject"), F.create_map(F.lit("scope"), F.lit("standalone")).alias("qualifiers"), F.lit(0.9).alias("confidence"))
+    value = F.when(n % 17 == 0, "").when(n % 23 == 0, "n.a.").when(n % 5 == 0, "99999999999").otherwise(price)
+    moved = F.when(n % 7 == 0, n + 1_000_000_000).otherwise(n)
+    quote = F.when(n % 11 == 0, "").when(n % 13 == 0, "not there at all").otherwise(F.col("quote"))
+    none = F.lit(None).cast("string")
+    p = pages.select(
+        "doc_id", F.lit(0).alias("batch"), moved.alias("page"), quote.alias("quote"), F.lit("numeric").alias("kind"), F.when(n % 19 == 0, "").otherwise("Freight value").alias("metric"), value.alias("value_raw"), F.lit("Rs. million").alias("unit_raw"),
+        none.alias("state"), F.lit("FY24").alias("period_raw"), none.alias("subject"), F.create_map(F.lit("scope"), F.lit("standalone")).alias("qualifiers"), F.lit(0.9).alias("confidence"),
+    )
     return p, pages.select("doc_id", F.lit(0).alias("batch"), "page", "text")
 
 
-@query("quote_grounding")
+_GROUNDED = "WITH " + PAGES_SQL + """, g AS (SELECT doc_id, page AS own, page % 7 = 0 AS moved, CASE WHEN page % 7 = 0 THEN page + 1000000000 ELSE page END AS page, page % 11 <> 0 AND page % 13 <> 0 AS found, split_part(text, chr(10), 1) AS q, text,
+CASE WHEN page % 11 = 0 OR page % 13 = 0 THEN 'quote_not_on_page' WHEN page % 19 = 0 THEN 'no_metric' WHEN page % 17 = 0 THEN 'no_value' WHEN page % 23 = 0 THEN 'unparseable_number' WHEN page % 5 = 0 THEN 'value_not_in_quote' END AS reason FROM pages_),
+k AS (SELECT *, CAST(regexp_extract(q, 'Rs\\. ([0-9.]+)', 1) AS DOUBLE) AS v, CASE WHEN moved THEN 0.9::DOUBLE * 0.9::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM g WHERE reason IS NULL)"""
+
+
+@query("quote_grounding", _GROUNDED + """ SELECT doc_id, page, CASE WHEN found THEN own END AS found_page, CASE WHEN found THEN 0 END AS "start", CASE WHEN found THEN CAST(length(q) AS INTEGER) END AS "end", CASE WHEN found THEN 'exact' END AS how, CASE WHEN found THEN moved END AS relocated, reason FROM g""")
 def quote_grounding(spark, sf_dir):
     p, pages = _proposals(spark, sf_dir)
     return ground.ground(p, pages).select("doc_id", "page", "found_page", "start", "end", "how", "relocated", "reason")
 
 
-@query("rejection_stats")
+@query("single_page_grounding", _GROUNDED + " SELECT doc_id, page, found AND NOT moved AS found, CASE WHEN found AND moved THEN 'quote_not_on_page' ELSE reason END AS reason FROM g")
+def single_page_grounding(spark, sf_dir):
+    """The same where one page is asked at a time, so that quotes are not looked for elsewhere."""
+    p, pages = _proposals(spark, sf_dir)
+    return ground.ground(p, pages, whole_batch=False).select("doc_id", "page", F.col("found_page").isNotNull().alias("found"), "reason")
+
+
+_KINDS = "count(*) FILTER (reason = 'quote_not_on_page') AS quote_not_on_page, count(*) FILTER (reason = 'value_not_in_quote') AS value_not_in_quote, count(*) FILTER (reason IN ('no_metric', 'no_value', 'unparseable_number')) AS unparseable"
+
+
+@query("rejection_stats", _GROUNDED + f" SELECT doc_id, count(*) AS proposed, count(*) FILTER (reason IS NULL) AS kept, {_KINDS}, count(*) FILTER (reason IS NULL)::DOUBLE / count(*) AS pass_rate FROM g GROUP BY 1")
 def rejection_stats(spark, sf_dir):
     return ground.rejection_stats(ground.ground(*_proposals(spark, sf_dir)))
 
 
-@query("assembled_facts")
+def _calls(pages):
+    """Batches of the pages, and those that fail: of every fourth document."""
+    batched = ground.batches(pages, 3)
+    answered = batched.filter("doc_id % 4 <> 0").select("doc_id", "batch")
+    return batched, ground.failed_calls(batched, answered)
+
+
+@query("rejections", _GROUNDED + """, c AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM pages_) SELECT doc_id, page, reason AS why, CASE WHEN own % 11 = 0 THEN '' WHEN own % 13 = 0 THEN 'not there at all' ELSE q END AS quote FROM g WHERE reason IS NOT NULL UNION ALL SELECT doc_id, min(page), 'call_failed', NULL FROM c WHERE doc_id % 4 = 0 GROUP BY doc_id, (i - 1) // 3""")
+def rejections(spark, sf_dir):
+    p, pages = _proposals(spark, sf_dir)
+    return ground.rejections(ground.ground(p, pages), _calls(pages)[1]).select("doc_id", "page", "why", "quote")
+
+
+@query("extraction_stats", _GROUNDED + f""", s AS (SELECT doc_id, count(*) AS proposed, count(*) FILTER (reason IS NULL) AS kept, {_KINDS}, count(*) FILTER (reason IS NULL)::DOUBLE / count(*) AS pass_rate FROM g GROUP BY 1)
+SELECT doc_id, proposed AS pages_seen, CASE WHEN doc_id % 4 = 0 THEN proposed ELSE 0 END AS pages_failed, proposed, kept, quote_not_on_page, value_not_in_quote, unparseable, pass_rate, kept AS n_facts, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE proposed END AS pages_sent FROM s""")
+def extraction_stats(spark, sf_dir):
+    p, pages = _proposals(spark, sf_dir)
+    grounded = ground.ground(p, pages)
+    return ground.extraction_stats(pages, *_calls(pages), grounded, ground.assemble(grounded))
+
+
+def _assembled(spark, sf_dir):
+    return ground.assemble(ground.ground(*_proposals(spark, sf_dir)))
+
+
+@query("assembled_facts", _GROUNDED + """ SELECT doc_id, 'freight' AS metric_key, v AS value, v - 0.01::DOUBLE * 0.5 AS lo, v + 0.01::DOUBLE * 0.5 AS hi, 'INR_million' AS unit, '{"period":"2023-04-01..2024-03-31","scope":"standalone"}' AS dims, confidence, own AS page, CASE WHEN moved THEN page END AS original_page, text[1:length(q) + 220] AS snippet FROM k""")
 def assembled_facts(spark, sf_dir):
-    f = ground.assemble(ground.ground(*_proposals(spark, sf_dir)))
-    return f.select("id", "doc_id", "metric_key", "value", "lo", "hi", "unit", F.to_json("dims").alias("dims"), "confidence", "page", "original_page")
+    return _assembled(spark, sf_dir).select("doc_id", "metric_key", "value", "lo", "hi", "unit", F.to_json("dims").alias("dims"), "confidence", "page", "original_page", "snippet")
+
+
+@query("relocated_facts", _GROUNDED + " SELECT 'Freight value' AS metric, page AS claimed_page, own AS actual_page, q[1:100] AS quote FROM k WHERE moved")
+def relocated_facts(spark, sf_dir):
+    """All of them: the report's limit is the caller's."""
+    return tables.relocated_facts(_assembled(spark, sf_dir), 1 << 30).drop("fact_id")
+
+
+def _lines_as_words(text_):
+    """A text's lines as words with places and boxes: line i is 8 high and starts at 10 * i."""
+    placed = tables.place_words(F.transform(F.split(text_, "\n"), lambda x, i: F.struct(F.lit(0).alias("block"), i.alias("line"), F.lit(0).alias("word"), x.alias("text"))))
+    return F.transform(placed["places"], lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lit(0.0).alias("x0"), (w["line"] * 10.0).alias("y0"), F.lit(100.0).alias("x1"), (w["line"] * 10.0 + 8).alias("y1")))
+
+
+@query("evidence", _GROUNDED + """ SELECT doc_id, own AS page, q AS quote, 0 AS "start", CAST(length(q) AS INTEGER) AS "end", '0.0 0.0 100.0 8.0' AS boxes, text AS page_text FROM k""")
+def evidence(spark, sf_dir):
+    """Each fact in its page, with the box of its line."""
+    pages = synthetic_pages(spark, sf_dir).select("doc_id", "page", "text", _lines_as_words(F.col("text")).alias("words"))
+    facts = ground.assemble(ground.ground(*_proposals(spark, sf_dir)), spans=True)
+    box = F.transform("boxes", lambda b: F.concat_ws(" ", *[b[c].cast("string") for c in ("x0", "y0", "x1", "y1")]))
+    return tables.evidence(facts, pages).select("doc_id", "page", "quote", "start", "end", F.array_join(box, ";").alias("boxes"), "page_text")
+
+
+@query("text_rebuild", """WITH w AS (SELECT l_orderkey, l_linenumber // 3 AS block, l_linenumber AS line, unnest([0, 1, 2]) AS word, unnest([l_returnflag, l_linestatus, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)]) AS t FROM lineitem),
+g AS (SELECT *, row_number() OVER o AS i, lag(block) OVER o AS b, lag(line) OVER o AS l FROM w WINDOW o AS (PARTITION BY l_orderkey ORDER BY block, line, word, t)), j AS (SELECT l_orderkey, i, CASE WHEN b IS NULL THEN '' WHEN b = block AND l = line THEN ' ' ELSE chr(10) END || t AS t FROM g)
+SELECT l_orderkey AS page, string_agg(t, '' ORDER BY i) AS text, count(*) AS n_words, CAST(sum(length(t)) AS INTEGER) AS last_end FROM j GROUP BY 1""")
+def text_rebuild(spark, sf_dir):
+    """Page texts from the words of each order's items, with the place of the last word."""
+    li = table(spark, sf_dir, "lineitem")
+    words = [F.struct(F.expr("l_linenumber div 3").alias("block"), F.col("l_linenumber").alias("line"), F.lit(i).alias("word"), w.alias("text")) for i, w in enumerate([F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity").cast("int").cast("string")])]
+    pages = li.groupBy(F.col("l_orderkey").alias("page")).agg(F.flatten(F.collect_list(F.array(*words))).alias("words"))
+    return pages.select("page", tables.place_words(F.col("words")).alias("p")).select("page", "p.text", F.size("p.places").cast("bigint").alias("n_words"), F.element_at("p.places", -1).getField("end").alias("last_end"))
+
+
+@query("page_labels", "SELECT o_custkey AS doc_id, o_orderkey AS page, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 500 AS VARCHAR) WHEN o_orderkey % 3 = 1 THEN 'xiv' END AS page_label FROM orders WHERE o_orderkey % 3 < 2")
+def page_labels(spark, sf_dir):
+    """Of every page some text, a number in its middle, and near an edge a number, a roman number or a word."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"))
+    at = lambda t, y: F.struct(t.cast("string").alias("text"), F.lit(float(y)).alias("y0"), F.lit(float(y + 8)).alias("y1"))
+    edge = F.when(F.col("page") % 3 == 0, at(F.concat(F.lit(" Page "), (F.col("page") % 500).cast("string")), 20)).when(F.col("page") % 3 == 1, at(F.lit("xiv"), 780)).otherwise(at(F.lit("Annual"), 20))
+    blocks = o.select("doc_id", "page", F.inline(F.array(at(F.lit("Some text of the page"), 5), at(F.lit("77"), 400), at(F.lit("1234"), 90), edge)), F.lit(800.0).alias("height"))
+    return tables.page_labels(blocks.filter("NOT (text = '1234' AND page % 3 = 2)"))
+
+
+@query("keyed_upsert", "WITH n AS (SELECT o_custkey AS c_custkey, max(o_orderpriority) AS segment FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) SELECT c_custkey, c_mktsegment AS segment FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT * FROM n")
+def keyed_upsert(spark, sf_dir):
+    old = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    return tables.upsert(old, table(spark, sf_dir, "orders").filter("o_custkey % 2 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("segment")), "c_custkey")
+
+
+@query("unseen_documents", "SELECT DISTINCT sha256(text) AS sha256 FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 3 = 0 AND k.text = d.text)")
+def unseen_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return tables.unseen(d, d.filter("doc_id % 3 = 0")).select("sha256")
+
+
+@query("replayed_prompts", "SELECT doc_id, sha1('Profile document ' || doc_id) AS key, CASE WHEN doc_id % 2 = 0 THEN '{\"title\":\"' || source || '\"}' END AS data FROM documents")
+def replayed_prompts(spark, sf_dir):
+    """Prompts with their cached answers; every second one is not cached."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("Profile document "), F.col("doc_id").cast("string")).alias("prompt"))
+    cache = d.filter("doc_id % 2 = 0").select(F.sha1(F.col("prompt").cast("binary")).alias("key"), F.concat(F.lit('{"title":"'), "source", F.lit('"}')).alias("data"), F.lit("model").alias("model"))
+    return tables.replay(d, cache, strict=False).select("doc_id", "key", "data")
+
+
+@query("json_recovered", "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN props END AS found FROM events")
+def json_recovered(spark, sf_dir):
+    """A model's answers: in a code fence, amid words, bare, or without JSON."""
+    e, p = table(spark, sf_dir, "events"), F.col("props")
+    said = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("So: "), p, F.lit(" is it."))).when(F.col("event_id") % 4 == 2, p).otherwise("none to be had")
+    return e.select("event_id", tables.json_of(said).alias("found"))
+
+
+@query("subject_guard", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'zzqx' ELSE '' END AS subject FROM part")
+def subject_guard(spark, sf_dir):
+    """A subject that the metric's name holds or only turns round is no dimension; one that has nothing to do with it is."""
+    words = F.split("p_name", " ")
+    subject = F.when(F.col("p_partkey") % 3 == 0, words[0]).when(F.col("p_partkey") % 3 == 1, "zzqx").otherwise(F.concat(words[1], F.lit(" "), words[0]))
+    f = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("metric_key"), subject.alias("subject_key"))
+    f = f.withColumn("dims", relate.dimensions(F.lit(None).cast("string"), ground.informative_subject(F.col("subject_key"), F.col("metric_key")), F.lit(None).cast("map<string,string>")))
+    return resolve.subject_guard(f).select(F.col("id").alias("p_partkey"), F.coalesce(F.try_element_at("dims", F.lit("subject")), F.lit("")).alias("subject"))
+
+
+@query("period_relations", f"WITH q AS (SELECT DISTINCT {_FY} AS fy, {_M} // 3 AS q FROM orders), h AS (SELECT DISTINCT {_FY} AS fy, {_M} // 6 AS h FROM orders) SELECT 'Q' || (q + 1) || ' FY' || q.fy AS part, 'H' || (h + 1) || ' FY' || h.fy AS whole, q // 2 = h AS overlap, false AS same FROM q JOIN h ON q.fy = h.fy")
+def period_relations(spark, sf_dir):
+    """Whether the quarters and halves of a year overlap, and whether they are the same."""
+    fy = F.substring("label", -4, 4)
+    q, h = (f(spark, sf_dir).select("label", F.col("starts").cast("date").alias("s"), F.col("ends").cast("date").alias("e"), fy.alias("fy")).distinct() for f in (period_quarter, period_half))
+    both = q.alias("q").join(h.alias("h"), "fy")
+    ends = [F.col(c) for c in ("q.s", "q.e", "h.s", "h.e")]
+    return both.select(F.col("q.label").alias("part"), F.col("h.label").alias("whole"), periods.periods_overlap(*ends).alias("overlap"), periods.periods_equal(*ends).alias("same"))
 
 
 @query("value_in_quote", "SELECT doc_id, contains(regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g'), CAST(doc_id % 100 AS VARCHAR)) AS found FROM documents")
@@ -235,12 +479,12 @@ def qualifier_merge(spark, sf_dir):
 
 @query("block_pairs", "WITH " + FACTS_SQL + " SELECT l.id AS left_id, r.id AS right_id FROM f l JOIN f r ON l.metric_key = r.metric_key AND l.id < r.id")
 def block_pairs(spark, sf_dir):
-    return relate.block_pairs(order_facts(spark, sf_dir)).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
+    return relate.block_pairs(order_facts(spark, sf_dir).select("id", "metric_key")).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
 
 
 @query("block_cap", "WITH " + FACTS_SQL + ", n AS (SELECT id, metric_key FROM f QUALIFY row_number() OVER (PARTITION BY metric_key ORDER BY id) <= 5) SELECT l.id AS left_id, r.id AS right_id FROM n l JOIN n r ON l.metric_key = r.metric_key AND l.id < r.id")
 def block_cap(spark, sf_dir):
-    return relate.block_pairs(order_facts(spark, sf_dir), cap=5).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
+    return relate.block_pairs(order_facts(spark, sf_dir).select("id", "metric_key"), cap=5).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
 
 
 def _part_facts(spark, sf_dir):
@@ -277,6 +521,12 @@ def metric_adjudication(spark, sf_dir):
     return resolve.same_metric(links, said).select("key_a", "key_b", "same", "source")
 
 
+@query("adjudication_budget", "WITH " + _ADJ + ", r AS (SELECT *, row_number() OVER (ORDER BY lexical DESC, key_a, key_b) AS i FROM l WHERE lexical >= 80 AND lexical < 95) SELECT l.key_a, l.key_b, l.lexical >= 95 AS same, CASE WHEN l.lexical >= 95 THEN 'lexical_high' WHEN l.lexical < 80 THEN 'blocked' WHEN i <= 100 THEN 'unresolved' ELSE 'budget_exhausted' END AS source FROM l LEFT JOIN r ON l.key_a = r.key_a AND l.key_b = r.key_b")
+def adjudication_budget(spark, sf_dir):
+    """No answers yet: the 100 strongest undecided pairs are due for one."""
+    return resolve.same_metric(_links(spark, sf_dir), budget=100).select("key_a", "key_b", "same", "source")
+
+
 @query("cross_block_pairs", "WITH " + _ADJ + ", d AS (SELECT DISTINCT p_name || ':' || p_type AS id, p_name FROM part) SELECT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id, lexical AS score FROM l JOIN d a ON a.p_name = key_a JOIN d b ON b.p_name = key_b")
 def cross_block_pairs(spark, sf_dir):
     return _class_pairs(spark, sf_dir).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "score")
@@ -356,6 +606,51 @@ def explanations(spark, sf_dir):
     return order_relations(spark, sf_dir).select("id", "verdict", relate.explanation().alias("explanation"))
 
 
+_RECORDS = ", o AS (SELECT rel.*, t.n_pairs FROM rel LEFT JOIN t ON t.dim = rel.explained_by)"
+
+
+@query("reasoning_records", RELATIONS_SQL + _RECORDS + " SELECT id, left_id, right_id, metric_key AS match_key, 'exact' AS match, 'interval' AS mode, review_reason, CASE WHEN verdict = 'needs_review' THEN round(pp, 3) END AS review_power, n_pairs AS observations, round(o.power, 3) AS power FROM o JOIN (SELECT id AS fid, metric_key FROM f) ON fid = left_id")
+def reasoning_records(spark, sf_dir):
+    r = order_relations(spark, sf_dir).select("id", F.col("l.metric_key").alias("match_key"), relate.reasoning().alias("r"))
+    return r.select("id", F.col("r.left.id").alias("left_id"), F.col("r.right.id").alias("right_id"), "match_key", F.col("r.metric_match.source").alias("match"), F.col("r.values.mode").alias("mode"), "r.review_reason", "r.review_power", F.col("r.explanatory_observations").alias("observations"), F.col("r.explanatory_power").alias("power"))
+
+
+def _cross(spark, sf_dir):
+    return relate.relations(cross_facts(spark, sf_dir), cross_verdicts(spark, sf_dir))
+
+
+@query("cross_relations", CROSS_SQL + " SELECT id, left_id, right_id, verdict, explained_by, review_reason, confidence, salience, renamed FROM rel")
+def cross_relations(spark, sf_dir):
+    """All relations where one document words the metric otherwise: within a name, and across the two that wording or a model's answer calls the same."""
+    return _cross(spark, sf_dir).select("id", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "verdict", "explained_by", "review_reason", "confidence", "salience", (F.col("l.metric") != F.col("r.metric")).alias("renamed"))
+
+
+@query("cross_dim_power", CROSS_SQL + " SELECT dim, n_pairs, n_differs, round(power, 3) AS power FROM t")
+def cross_dim_power(spark, sf_dir):
+    """What the pairs across names add to the learned power of dimensions, ranked."""
+    found = relate.evaluate(relate.candidate_pairs(cross_facts(spark, sf_dir), cross_verdicts(spark, sf_dir)))
+    return tables.ranked_dimensions(relate.dimension_stats(found))
+
+
+@query("cross_matches", CROSS_SQL + " SELECT CASE WHEN NOT renamed THEN 'exact' WHEN k % 7 = 0 THEN 'lexical_high' ELSE 'llm' END AS match, verdict, CAST(count(*) AS BIGINT) AS n FROM rel GROUP BY 1, 2")
+def cross_matches(spark, sf_dir):
+    return _cross(spark, sf_dir).groupBy(F.col("match.source").alias("match"), "verdict").agg(F.count("*").alias("n"))
+
+
+@query("metric_verdicts", "SELECT DISTINCT 'order customer ' || o_custkey AS key_a, 'sale customer ' || o_custkey AS key_b, o_custkey % 7 = 0 OR o_custkey % 3 <> 0 AS same, CASE WHEN o_custkey % 7 = 0 THEN 'lexical_high' WHEN o_custkey % 5 <> 4 OR o_custkey % 3 <> 0 THEN 'llm' ELSE 'lexical' END AS source FROM orders")
+def metric_verdicts(spark, sf_dir):
+    return cross_verdicts(spark, sf_dir).select("key_a", "key_b", "same", "source")
+
+
+@query("metric_index")
+def metric_index(spark, sf_dir):
+    """Counts of the links between the parts' names, by wording and by vectors given to them."""
+    f = _part_facts(spark, sf_dir)
+    named = f.select(F.col("metric_key").alias("key")).distinct()
+    vectors = named.withColumn("vec_id", F.pmod(F.xxhash64("key"), F.lit(500))).join(table(spark, sf_dir, "embeddings"), "vec_id").select("key", F.col("embedding").alias("vector"))
+    return resolve.index_metrics(f, resolve.metric_links(f, vectors))
+
+
 @query("relation_summary_rollup", RELATIONS_SQL + " SELECT verdict, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (cross_document) AS BIGINT) AS n_cross FROM rel GROUP BY ROLLUP (verdict)")
 def relation_summary_rollup(spark, sf_dir):
     return tables.summary(order_relations(spark, sf_dir))
@@ -405,11 +700,54 @@ def same_value_two_metrics(spark, sf_dir):
     return tables.same_value_two_metrics(f).select("doc_id", "value", F.array_join("metrics", ",").alias("metrics"))
 
 
-@query("best_examples")
+@query("best_examples", RELATIONS_SQL + """, pool AS (SELECT * FROM rel WHERE confidence >= 0.3 QUALIFY row_number() OVER (PARTITION BY verdict ORDER BY salience DESC, id) <= 300),
+q AS (SELECT *, round(confidence + CASE WHEN cross_document THEN 0.6 ELSE 0.0 END::DOUBLE - 0.22::DOUBLE * (CASE WHEN up THEN 1 ELSE 0 END) + 0.05::DOUBLE * ((CASE WHEN NOT cb THEN 1 ELSE 0 END) + (CASE WHEN ap THEN 1 ELSE 0 END)) - 0.3::DOUBLE * greatest((CASE WHEN cb THEN 1 ELSE 0 END) + (CASE WHEN cp THEN 1 ELSE 0 END) - 1, 0) + CASE WHEN bp THEN 0.25 ELSE 0.0 END::DOUBLE + CASE WHEN gap > 0.005 AND verdict <> 'corroborates' THEN 0.15 ELSE 0.0 END::DOUBLE, 6) AS quality FROM pool)
+SELECT verdict, id, quality FROM q QUALIFY row_number() OVER (PARTITION BY verdict ORDER BY verdict = 'reconciled' AND explained_by = 'period', cross_document DESC, quality DESC, id) = 1""")
 def best_examples(spark, sf_dir):
     return tables.best_examples(order_relations(spark, sf_dir))
 
 
+@query("fact_lookup", "WITH " + FACTS_SQL + " SELECT id, value, lo, hi FROM f WHERE id = 'annual:' || (SELECT min(k) FROM y) || ':' || (SELECT min(fy) FROM y WHERE k = (SELECT min(k) FROM y))")
+def fact_lookup(spark, sf_dir):
+    first = inputs.yearly_orders(spark, sf_dir).agg(F.min(F.struct("k", "fy")).alias("x")).first().x
+    return tables.lookup(order_facts(spark, sf_dir), id=f"annual:{first.k}:{first.fy}").select("id", "value", "lo", "hi")
+
+
+@query("document_facts", "WITH " + FACTS_SQL + " SELECT id, value FROM f WHERE doc_id = 'memo' ORDER BY id LIMIT 1000")
+def document_facts(spark, sf_dir):
+    return tables.all_facts(order_facts(spark, sf_dir), "memo", 1000).select("id", "value")
+
+
+@query("documents_listed", "WITH " + FACTS_SQL + ", d(doc_id, corpus, filename) AS (VALUES ('annual', 'filings', 'b.pdf'), ('deck', 'filings', 'a.pdf'), ('survey', 'press', 'c.pdf'), ('memo', NULL, 'z.pdf'), ('plan', 'press', 'd.pdf')) SELECT d.*, (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id) AS n_facts FROM d ORDER BY corpus NULLS FIRST, filename")
+def documents_listed(spark, sf_dir):
+    d = spark.createDataFrame([("annual", "filings", "b.pdf"), ("deck", "filings", "a.pdf"), ("survey", "press", "c.pdf"), ("memo", None, "z.pdf"), ("plan", "press", "d.pdf")], "doc_id string, corpus string, filename string")
+    return tables.list_documents(d, order_facts(spark, sf_dir).select("doc_id"))
+
+
+def _stored(spark, sf_dir):
+    r = order_relations(spark, sf_dir)
+    return r.select("id", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "verdict", "confidence", "salience")
+
+
+@query("fact_details", RELATIONS_SQL + ", ends AS (SELECT left_id AS fid, id, salience FROM rel UNION ALL SELECT right_id, id, salience FROM rel), b AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY fid ORDER BY salience DESC, id) <= 60) SELECT f.id, f.value, CAST(count(b.id) AS INTEGER) AS n_relations, max(b.salience) AS top_salience FROM f LEFT JOIN b ON fid = f.id GROUP BY 1, 2")
+def fact_details(spark, sf_dir):
+    facts = order_facts(spark, sf_dir).select("id", "value")
+    d = tables.fact_details(facts, _stored(spark, sf_dir), facts.select(F.col("id").alias("fact_id")))
+    return d.select("id", "value", F.size("relations").alias("n_relations"), F.get("relations", F.lit(0)).getField("salience").alias("top_salience"))
+
+
+@query("relation_details", RELATIONS_SQL + " SELECT rel.id, verdict, l.doc_id AS left_doc, r.doc_id AS right_doc, l.value AS left_value, r.value AS right_value FROM rel JOIN f l ON l.id = left_id JOIN f r ON r.id = right_id")
+def relation_details(spark, sf_dir):
+    d = tables.relation_details(_stored(spark, sf_dir), order_facts(spark, sf_dir).select("id", "doc_id", "value"))
+    return d.select("id", "verdict", F.col("left.doc_id").alias("left_doc"), F.col("right.doc_id").alias("right_doc"), F.col("left.value").alias("left_value"), F.col("right.value").alias("right_value"))
+
+
+@query("rebuilt_relations", RELATIONS_SQL + " SELECT id, verdict FROM rel")
+def rebuilt_relations(spark, sf_dir):
+    """All blocks anew, without a cap."""
+    return incremental.rebuild(order_facts(spark, sf_dir))[0].select("id", "verdict")
+
+
 @query("incremental_link", "WITH " + FACTS_SQL + " SELECT l.id AS left_id, r.id AS right_id FROM f l JOIN f r ON l.metric_key = r.metric_key AND l.id < r.id AND greatest(l.fy, r.fy) >= 2000")
 def incremental_link(spark, sf_dir):
     f = order_facts(spark, sf_dir)
