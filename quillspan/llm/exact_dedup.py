@@ -52,7 +52,7 @@ def lookup(runs: DataFrame, shas: list[str]) -> DataFrame:
 
 def verified_groups(df: DataFrame, text: Column, id_: Column, index: DataFrame) -> DataFrame:
     """(sha, h2, len, keep_id, n) of each group of equal texts with two rows or more, and of some single rows; compared as whole texts."""
-    hits = scratch.key_filter(index.filter("n > 1"), "sha")
+    hits = scratch.key_filter(scratch.keep(index.filter("n > 1").select("sha"), "lsm-hits"), "sha")
     rows = df.select(id_.alias("id"), normalised(text).alias("norm")).withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
     rows = scratch.with_maybe(rows, hits, "hit", "sha").filter("hit")
     groups = rows.groupBy("sha", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))

@@ -6,19 +6,22 @@ four words: the words together), as 64-bit hashes. Texts with equal sets form on
 1. A class is embedded as 128 minhashes, so that two classes agree on a position with a chance of their similarity.
 2. A run chooses paths: at every node each position is chosen with chance 1 / (LOOSE * 128), and a set goes on to the
    child named by that position and the minhash there, so similar sets share a path and others part quickly. Nodes
-   with BUCKET sets or fewer end; larger ones are split further, down to DEPTHS[-1] positions.
-3. Runs are repeated until a pair at the threshold meets with the target recall (`runs_for`, from the chance that a
-   path survives to the greatest depth). Sketch errors of two standard deviations are allowed for by LOOSE.
-4. Ended nodes are compared all with all, in tiles of at most 2 * BLOCK sets, so that a node of any size is spread over
-   tasks. A pair is looked at in the smallest node that it shares, only there. First the minhashes are compared, then, for the
-   pairs that may reach the threshold, the whole sets, exactly.
+   with BUCKET sets or fewer end. Larger ones are split again and again, until splitting no longer lowers the number of
+   pairs below them (their sets are alike, so comparing them is the work there is).
+3. Runs are repeated until a pair at the threshold meets with the target recall, however deep its nodes are split
+   (`runs_for`, from the chance that a path never dies out).
+4. Ended nodes are compared all with all, in tiles of two blocks at most, so that a node of any size is spread over
+   tasks; blocks are bounded in sets and in members, so long texts make more of them. A pair is looked at in the
+   smallest node that it shares, only there. First the minhashes are compared, then, for the pairs that may reach the
+   threshold, the whole sets, exactly.
 5. Tasks return, per set, how many it is linked to and the smallest member of its component in the tile: rows grow with
    the sets and not with the pairs. Components are joined by label propagation with pointer jumping, on written tables.
 
 What is found is exact; what is missed is at most the recall's complement per pair at the threshold, and less above it.
 
-A null or empty text has no words, no links and a class of its own. Repeated rows share a class. Rows with a null id are
-left out of classes: their class_id is null.
+Sets and rows are told apart by digests, never by id alone: rows with one id and different texts are different documents,
+and a row without an id is linked like any other. class_id is the smallest id of a class, null if none of its rows has one.
+A null or empty text has no words, no links and a class of its own. Repeated rows share a class.
 """
 
 from __future__ import annotations
@@ -37,13 +40,15 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 POSITIONS = 128
-#: The similarity that the paths are tuned for: the threshold less two standard deviations of an estimate by 128 minhashes.
-LOOSE = 0.73
+#: The similarity at which a path just survives; paths of pairs at the threshold branch by THRESHOLD / LOOSE.
+LOOSE = 0.6
 #: Pairs whose sketches agree on a smaller share are not compared: the threshold less four standard deviations.
 SKETCH = 0.65
-DEPTHS = (2, 4)
+LEVELS = 2  # positions chosen between two looks at the nodes
 BUCKET = 64
-BLOCK = 256
+#: A node is split further only if that leaves fewer than this share of its pairs.
+GAIN = 0.75
+BLOCK, BLOCK_MEMBERS = 256, 400_000
 WORD_CACHE = 300_000
 
 _rng = np.random.default_rng(20240229)
@@ -53,11 +58,13 @@ _ADD = _rng.integers(0, 2**63, POSITIONS, dtype=np.uint64)
 _POS = _rng.integers(0, 2**63, POSITIONS, dtype=np.uint64)
 
 
-def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = DEPTHS[-1]) -> int:
-    """Runs after which a pair at the threshold has met with chance recall."""
+def runs_for(recall: float, threshold: float = THRESHOLD) -> int:
+    """Runs after which a pair at the threshold has met with chance recall, in nodes of any depth."""
     alive = 1.0
-    for _ in range(depth):
+    for _ in range(1000):
         alive = 1 - math.exp(-threshold / LOOSE * alive)
+    if alive < 1e-6:
+        raise ValueError(f"paths of pairs with a similarity of {threshold} die out: it must be above {LOOSE}")
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
@@ -100,24 +107,26 @@ def minhashes(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, text: str, id_: str) -> DataFrame:
-    """(id, key, n, sig) of each row with an id: the digest of its set, the set's size and the minhashes (null without words); written."""
+    """(id, th, key, n, sig) of each row: a hash of the text, the digest of its set, the set's size and the minhashes (null without words); written."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes = _Hashes()
         for batch in batches:
-            ids, keys, sizes, sigs = [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys, sizes, sigs = [], [], []
+            for t in batch.column(2):
                 s = shingles(t.as_py(), hashes)
-                ids.append(i)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sizes.append(len(s))
                 sigs.append(minhashes(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=["id", "key", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=["id", "th", "key", "n", "sig"])
 
-    rows = df.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("t")).filter("id IS NOT NULL")
-    return scratch.keep(scratch.map_batches(rows, sign, "id bigint, key binary, n int, sig binary"), "near-sigs")
+    return scratch.keep(scratch.map_batches(_rows(df, text, id_), sign, "id bigint, th bigint, key binary, n int, sig binary"), "near-sigs")
+
+
+def _rows(df: DataFrame, text: str, id_: str) -> DataFrame:
+    return df.select(F.col(f"`{id_}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("t"))
 
 
 def _descend(paths: np.ndarray, owner: np.ndarray, sig: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,31 +146,55 @@ def _descend(paths: np.ndarray, owner: np.ndarray, sig: np.ndarray, levels: int)
     return paths, owner
 
 
-def _paths(rows: DataFrame, levels: int, roots: int | None) -> DataFrame:
-    """(path, id): from `roots` roots (the runs), or from each row's own path."""
+def _paths(rows: DataFrame, roots: int | None) -> DataFrame:
+    """(path, parent, cid, n) LEVELS positions further on: from `roots` roots (the runs), or from each row's own path."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 2000):
                 part = batch.slice(a, 2000)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u4").reshape(-1, POSITIONS)
+                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype="<u4").reshape(-1, POSITIONS)
                 owner = np.arange(len(part))
                 if roots:
                     start = np.tile(_mix(np.arange(1, roots + 1, dtype=np.uint64)), len(part))
                     owner = np.repeat(owner, roots)
+                    parent = np.zeros(len(part), dtype=np.int64)
                 else:
-                    start = part.column(2).to_numpy().view(np.uint64)
-                paths, owner = _descend(start, owner, sig, levels)
-                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column(0).take(pa.array(owner))], names=["path", "id"])
+                    parent = part.column(3).to_numpy()
+                    start = parent.view(np.uint64)
+                paths, owner = _descend(start, owner, sig, LEVELS)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(parent[owner]), part.column(0).take(take), part.column(1).take(take)], names=["path", "parent", "cid", "n"])
 
-    return scratch.map_batches(rows.select("id", "sig", *([] if roots else ["path"])), walk, "path bigint, id bigint")
+    return scratch.map_batches(rows.select("cid", "n", "sig", *([] if roots else ["path"])), walk, "path bigint, parent bigint, cid bigint, n int")
 
 
 def _shared(paths: DataFrame) -> DataFrame:
-    """(path, id, m) of the nodes that hold two sets or more; m: how many. Only rows of such nodes are joined."""
+    """(path, parent, cid, m, s) of the nodes that hold two sets or more; m: how many, s: their members. Only rows of such nodes are joined. Written."""
     paths = scratch.keep(paths, "near-paths")
-    counts = scratch.keep(paths.groupBy("path").agg(F.count("*").cast("int").alias("m")).filter("m > 1"), "near-nodes")
-    return scratch.with_maybe(paths, scratch.key_filter(counts, "path"), "hit", "path").filter("hit").drop("hit").join(counts, "path")
+    counts = scratch.keep(paths.groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("s")).filter("m > 1"), "near-nodes")
+    mine = scratch.with_maybe(paths, scratch.key_filter(counts, "path"), "hit", "path").filter("hit")
+    return scratch.keep(mine.select("path", "parent", "cid").join(counts, "path"), "near-members")
+
+
+def _ended(classes: DataFrame, runs: int) -> DataFrame:
+    """(path, cid, m, s) of the nodes in which sets are compared."""
+    pairs = lambda m: F.col(m) * (F.col(m) - 1)
+    of = ("path", "cid", "m", "s")
+    found = _shared(_paths(classes, runs))
+    ended = found.filter(F.col("m") <= BUCKET).select(*of)
+    large = found.filter(F.col("m") > BUCKET)
+    while not large.isEmpty():
+        below = _shared(_paths(large.select("path", "cid").join(classes.select("cid", "n", "sig"), "cid"), None))
+        left = below.groupBy("parent", "path").agg(F.first("m").alias("m")).groupBy("parent").agg(F.sum(pairs("m")).alias("left"))
+        whole = large.groupBy("path").agg(F.first("m").alias("m"))
+        alike = whole.join(left, whole["path"] == left["parent"], "left").filter(F.coalesce("left", F.lit(0)) > GAIN * pairs("m")).select("path")
+        alike = scratch.keep(alike, "near-alike")
+        ended = ended.unionByName(large.join(alike, "path", "left_semi").select(*of))
+        split = below.join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti")
+        ended = ended.unionByName(split.filter(F.col("m") <= BUCKET).select(*of))
+        large = scratch.keep(split.filter(F.col("m") > BUCKET), "near-large")
+    return ended
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -191,7 +224,7 @@ _TILE = ("path", "a", "b")
 
 
 def _pairs_by_sketch(rows: DataFrame, parts: int) -> DataFrame:
-    """(path, a, b, id, mates): per tile the sets with a pair that may reach the threshold, and as bits which of the others, in order of id."""
+    """(path, a, b, cid, mates): per tile the sets with a pair that may reach the threshold, and as bits which of the others, in order of cid."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -223,7 +256,7 @@ def _pairs_by_sketch(rows: DataFrame, parts: int) -> DataFrame:
             near |= near.T
             some = np.flatnonzero(near.any(axis=1))
             bits = np.packbits(near[np.ix_(some, some)], axis=1)
-            ids = tile.column("id").to_numpy()[some]
+            ids = tile.column("cid").to_numpy()[some]
             out += [(path, a, b, int(i), row.tobytes()) for i, row in zip(ids, bits, strict=True)]
             if len(out) > 20_000:
                 yield _batch(out)
@@ -233,10 +266,10 @@ def _pairs_by_sketch(rows: DataFrame, parts: int) -> DataFrame:
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*_TILE, "id", "mates"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*_TILE, "cid", "mates"])
 
-    sorted_ = rows.repartition(parts, *_TILE).sortWithinPartitions(*_TILE, "id")
-    return scratch.map_batches(sorted_, compare, "path bigint, a int, b int, id bigint, mates binary")
+    sorted_ = rows.repartition(parts, *_TILE).sortWithinPartitions(*_TILE, "cid")
+    return scratch.map_batches(sorted_, compare, "path bigint, a int, b int, cid bigint, mates binary")
 
 
 def _shared_counts(sets: list[np.ndarray], near: np.ndarray) -> np.ndarray:
@@ -260,12 +293,12 @@ def _shared_counts(sets: list[np.ndarray], near: np.ndarray) -> np.ndarray:
 
 
 def _links(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """(id, links, root): per tile and set the documents of the sets that are similar, and the smallest of its component there."""
+    """(cid, links, root): per tile and set the documents of the sets that are similar, and the smallest of its component there."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _groups(batches, _TILE):
             m = len(tile)
-            ids, copies = tile.column("id").to_numpy(), tile.column("copies").to_numpy()
+            ids, copies = tile.column("cid").to_numpy(), tile.column("copies").to_numpy()
             sets = [np.frombuffer(x, dtype="<u8") for x in tile.column("members").to_pylist()]
             mates = np.frombuffer(b"".join(tile.column("mates").to_pylist()), dtype=np.uint8).reshape(m, -1)
             near = np.unpackbits(mates, axis=1, count=m).astype(bool)
@@ -282,10 +315,10 @@ def _links(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
                 if (low == root).all():
                     break
                 root = low[low]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(linked @ copies[some].astype(np.int64)), pa.array(ids[some][root])], names=["id", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(linked @ copies[some].astype(np.int64)), pa.array(ids[some][root])], names=["cid", "links", "root"])
 
-    sorted_ = rows.repartition(parts, *_TILE).sortWithinPartitions(*_TILE, "id")
-    return scratch.map_batches(sorted_, verify, "id bigint, links bigint, root bigint")
+    sorted_ = rows.repartition(parts, *_TILE).sortWithinPartitions(*_TILE, "cid")
+    return scratch.map_batches(sorted_, verify, "cid bigint, links bigint, root bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,59 +335,73 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, text: str = "text", id_: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(id, class_id, n_links) of every row.
+def _classes(signed: DataFrame) -> DataFrame:
+    """(key, n, sig, id, copies, best, cid): one row per set; best is the row of it that stays before all others: with an id, the smallest, and of one id by digests. Written."""
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "th"))
+    per_set = signed.filter("n > 0").groupBy("key", "n", "sig").agg(F.min("id").alias("id"), F.count("*").alias("copies"), best.alias("best"))
+    return scratch.keep(per_set.withColumn("cid", F.monotonically_increasing_id()), "near-classes")  # read back, so a number stays with its set
 
-    class_id is the smallest id of those linked to the row directly or through others; n_links counts the other rows with a
-    similarity of threshold or more.
-    """
+
+def _decided(df: DataFrame, signed: DataFrame, text: str, id_: str, threshold: float, recall: float) -> DataFrame:
+    """(key, class_id, n_links, best, alone) per set with words: its class, the links of each of its rows, the class's row that stays, and whether that is its only row."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = signatures(df, text, id_)
-    classes = scratch.keep(signed.filter("n > 0").groupBy("key", "n", "sig").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "near-classes")
-    # Chosen paths.
-    found = scratch.keep(_shared(_paths(classes, DEPTHS[0], runs_for(recall, threshold))), "near-members")
-    ended = found.filter(F.col("m") <= BUCKET)
-    for before, depth in zip(DEPTHS, DEPTHS[1:], strict=False):
-        large = found.filter(F.col("m") > BUCKET).select("path", "id").join(classes.select("id", "sig"), "id")
-        found = scratch.keep(_shared(_paths(large, depth - before, None)), "near-members")
-        ended = ended.unionByName(found if depth == DEPTHS[-1] else found.filter(F.col("m") <= BUCKET))
+    classes = _classes(signed)
+    ended = _ended(classes.select("cid", "n", "sig"), runs_for(recall, threshold))
     # Tiles: block i meets block j of the same node in tile (i, j), i <= j.
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = ended.select("path", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    tiles = own.select("path", "id", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_MEMBERS)).cast("int")
+    own = ended.select("path", "cid", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    tiles = own.select("path", "cid", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
     sketch = F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1"))  # the first byte of each minhash
-    known = ended.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("nodes")).join(classes.select("id", sketch.alias("sketch")), "id")
-    near = scratch.keep(_pairs_by_sketch(tiles.join(known, "id"), parts), "near-pairs")
-    # Whole sets of those in a pair.
-    wanted = near.select("id").distinct()
+    known = ended.groupBy("cid").agg(F.sort_array(F.collect_set("path")).alias("nodes")).join(classes.select("cid", sketch.alias("sketch")), "cid")
+    near = scratch.keep(_pairs_by_sketch(tiles.join(known, "cid"), parts), "near-pairs")
+    # Whole sets of those in a pair, each from one of its rows.
+    wanted = scratch.keep(near.select("cid").distinct().join(classes.select("cid", "key", "copies", "best.id", "best.th"), "cid"), "near-wanted")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         hashes = _Hashes()
         for batch in batches:
             for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, hashes).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "members"])
-
-    texts = scratch.with_maybe(df.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("t")), scratch.key_filter(wanted, "id"), "hit", "id").filter("hit").select("id", "t")
-    # Ids are those of the classes' first rows; if rows with different texts share an id, the size tells which is meant.
-    sets = scratch.map_batches(texts, members, "id bigint, members binary")
-    sets = sets.join(classes.select("id", "n", "copies"), "id").filter(F.octet_length("members") == F.col("n") * 8).dropDuplicates(["id"]).select("id", "copies", "members")
-    links = scratch.keep(_links(near.join(sets, "id"), threshold, parts), "near-links")
-    label = components(links.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
-    per_class = classes.select("key", "id", "copies").join(links.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").join(label, "id", "left")
-    per_class = per_class.select("key", F.coalesce("label", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    by_row = signed.select("id", "key").join(per_class, "key").select("id", "class_id", "n_links")
-    blank = signed.filter("n = 0").select("id").unionByName(df.filter(F.col(id_).isNull()).select(F.col(id_).cast("long").alias("id")))
-    return by_row.unionByName(blank.select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
-
-
-def keep_first(df: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """df's rows that are the first of their class, with df's columns."""
-    found = scratch.keep(near_duplicates(df, text, id_), "near-result")
-    gone = found.filter(F.col("id") != F.col("class_id")).select("id").distinct()
-    marked = scratch.with_maybe(df.select(F.struct(*scratch.names(df)).alias("row"), F.col(id_).cast("long").alias("id")), scratch.key_filter(gone, "id"), "maybe", "id")
-    straight, asked = marked.filter(~F.col("maybe")), marked.filter("maybe").join(gone, "id", "left_anti")
-    return straight.select("row").unionByName(asked.select("row")).select("row.*")
+                sets = [shingles(t, hashes).tobytes() for t in batch.column(0).slice(a, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["key", "members"])
+
+    texts = scratch.with_maybe(_rows(df, text, id_), scratch.key_filter(wanted, "id", "th"), "hit", "id", "th").filter("hit").select("t")
+    sets = scratch.map_batches(texts, members, "key binary, members binary").join(wanted.select("cid", "key", "copies"), "key").dropDuplicates(["cid"])
+    links = scratch.keep(_links(near.join(sets.select("cid", "copies", "members"), "cid"), threshold, parts), "near-links")
+    label = components(links.filter("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("id", "cid")
+    whole = label.join(classes.select("cid", "id", "best"), "cid").groupBy("label").agg(F.min("id").alias("first_id"), F.min("best").alias("first"))
+    per_class = classes.select("key", "cid", "id", "copies", "best").join(links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(label, "cid", "left").join(whole, "label", "left")
+    linked = F.col("label").isNotNull()
+    return per_class.select(
+        "key", F.when(linked, F.col("first_id")).otherwise(F.col("id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "best").alias("best"), (~linked & (F.col("copies") == 1)).alias("alone"))
+
+
+def near_duplicates(df: DataFrame, text: str = "text", id_: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(id, class_id, n_links) of every row.
+
+    class_id is the smallest id of those linked to the row directly or through others; n_links counts the other rows with a
+    similarity of threshold or more.
+    """
+    signed = signatures(df, text, id_)
+    per_class = _decided(df, signed, text, id_, threshold, recall)
+    by_row = signed.filter("n > 0").select("id", "key").join(per_class, "key").select("id", "class_id", "n_links")
+    return by_row.unionByName(signed.filter("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def keep_first(df: DataFrame, text: str = "text", id_: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """df's rows that are the first of their class, with df's columns: of each class one row, that with the smallest id, and of one id one by digest. Rows without words stay."""
+    signed = signatures(df, text, id_)
+    per_class = _decided(df, signed, text, id_, threshold, recall).filter("NOT alone").select("key", "best")
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("th") == F.col("best.th")) & (F.col("key") == F.col("best.key"))
+    members = signed.filter("n > 0").select("id", "th", "key").join(per_class, "key").groupBy("id", "th").agg(F.max(stays).alias("once"), F.count("*").alias("copies"))
+    # Rows that go, and those of which only one may stay; all others pass without a join.
+    members = scratch.keep(members.filter("NOT once OR copies > 1").select("id", "th", "once"), "near-result")
+    rows = df.select(F.struct(*scratch.names(df)).alias("row"), F.col(f"`{id_}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
+    marked = scratch.with_maybe(rows, scratch.key_filter(members, "id", "th"), "maybe", "id", "th")
+    asked = marked.filter("maybe").alias("a").join(members.alias("m"), F.col("a.id").eqNullSafe(F.col("m.id")) & (F.col("a.th") == F.col("m.th")), "left")
+    single = asked.filter("once").select("a.row", "a.id", "a.th").dropDuplicates(["id", "th"]).select("row")
+    return marked.filter("NOT maybe").select("row").unionByName(asked.filter("once IS NULL").select("a.row")).unionByName(single).select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,38 +6,44 @@ reads them, so a lost executor costs a re-read and not a recomputation of everyt
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a key filter (1 MiB): the size of what is broadcast, whatever the number of keys. A fuller filter prunes less; it never loses a key.
-FILTER_BITS = 1 << 23
+from ..sources import shared
+
+#: Bits of a key filter per key, and at least and at most (4 KiB and 32 MiB): what is broadcast has this bound. With more keys a filter prunes less; it never loses one.
+FILTER_BITS_PER_KEY, FILTER_BITS_LEAST, FILTER_BITS_MOST = 16, 1 << 15, 1 << 28
 #: Rows of an Arrow batch of whole texts, where the session keeps Spark's default of 10,000: a batch is held several times over, in both processes.
 ARROW_ROWS = 1000
 _ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 _BUCKET = 32768  # bits of one bitmap of bitmap_construct_agg
 
-_written: dict[str, list[str]] = {}
+#: Paths written so far, by application and owner.
+_written: dict[tuple[str, str], list[str]] = {}
+_owner: contextvars.ContextVar[str] = contextvars.ContextVar("owner", default="")
+
+shared_dir = shared.folder
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A folder of this machine stands in only in local mode, where there is one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            folder = "file://" + tempfile.mkdtemp(prefix="quillspan-")
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+@contextlib.contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Tables that are kept meanwhile belong to this owner, who alone releases them."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
 
 
 def keep(df: DataFrame, name: str, *, sort: tuple[str, ...] = (), options: dict[str, str] | None = None, by: str | None = None) -> DataFrame:
@@ -46,35 +52,45 @@ def keep(df: DataFrame, name: str, *, sort: tuple[str, ...] = (), options: dict[
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = (df.sortWithinPartitions(*sort) if sort else df).write.options(**(options or {}))
     (writer.partitionBy(by) if by else writer).parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _written.setdefault((spark.sparkContext.applicationId, _owner.get()), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; call it once results that read them are written."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete an owner's scratch tables, once the results that read them are written. Tables without an owner stay, as results not yet read may need them."""
+    for path in _written.pop((spark.sparkContext.applicationId, owner), []):
+        delete(spark, path)
 
 
-def key_filter(keys: DataFrame, *columns: str, bits: int = FILTER_BITS) -> DataFrame:
-    """At most bits / 32768 rows (bucket, bitmap): the hashed places of all the keys."""
+class KeyFilter(NamedTuple):
+    rows: DataFrame
+    bits: int
+
+
+def key_filter(keys: DataFrame, *columns: str) -> KeyFilter:
+    """The hashed places of all the keys, a written table, as rows (bucket, bitmap); as large as the keys need, within bounds."""
+    bits = FILTER_BITS_LEAST
+    wanted = min(FILTER_BITS_MOST, FILTER_BITS_PER_KEY * keys.count())
+    while bits < wanted:
+        bits *= 2
     place = F.pmod(F.xxhash64(*columns), F.lit(bits))
-    return (
-        keys.select(place.alias("p"))
-        .groupBy((F.col("p") / _BUCKET).cast("int").alias("__bucket"))
-        .agg(F.bitmap_construct_agg(F.col("p") % _BUCKET).alias("__bitmap"))
-    )
+    made = keys.select(place.alias("p")).groupBy((F.col("p") / _BUCKET).cast("int").alias("__bucket")).agg(F.bitmap_construct_agg(F.col("p") % _BUCKET).alias("__bitmap"))
+    return KeyFilter(made, bits)
 
 
-def with_maybe(df: DataFrame, filter_: DataFrame, flag: str, *columns: str | Column, bits: int = FILTER_BITS) -> DataFrame:
+def with_maybe(df: DataFrame, filter_: KeyFilter, flag: str, *columns: str | Column) -> DataFrame:
     """df with a boolean column: false only if the row's key is certainly not among the filter's keys."""
-    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    place = F.pmod(F.xxhash64(*columns), F.lit(filter_.bits))
     bit = (F.col("__place") % _BUCKET).cast("int")
     byte = F.conv(F.hex(F.substring("__bitmap", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     on = df.withColumn("__place", place).withColumn("__bucket", (F.col("__place") / _BUCKET).cast("int"))
     hit = F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))
-    return on.join(F.broadcast(filter_), "__bucket", "left").withColumn(flag, hit).drop("__bucket", "__place", "__bitmap")
+    return on.join(F.broadcast(filter_.rows), "__bucket", "left").withColumn(flag, hit).drop("__bucket", "__place", "__bitmap")
 
 
 def names(df: DataFrame) -> list[Column]:
