@@ -14,7 +14,8 @@ the ones beside them, at most four of a partition, go to one small task in order
 of a host and its copies; there, what lies outside the <article> or <main> element of a page that has one is not its text.
 Pages without text have no template and are passed over as neighbours.
 
-A null html counts as empty and gives an empty text; a null URL has the empty host and path. Repeated rows stay.
+Lines are aligned in memory that grows with the lines of two pages, bit by bit of large numbers: 50,000 lines against as many take about a second.
+A result has the page's id and URL and no other column of the input, whatever it is called. A null html counts as empty and gives an empty text; a null URL has the empty host and path. Repeated rows stay.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from html.parser import HTMLParser
 from itertools import chain
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -119,6 +121,41 @@ def page_blocks(html: str) -> list[tuple[str, bool, bool]]:
     return parser.found
 
 
+def _prefix_lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """The lengths of the longest common subsequences of x with y[:0], y[:1], ..., y. One big number's bits stand for y's lines, so a line of x costs a few operations on them."""
+    places: dict[int, int] = {}
+    for j, line in enumerate(y):
+        places[line] = places.get(line, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for line in x:
+        meets = row & places.get(line, 0)
+        row = ((row + meets) | (row - meets)) & full
+    bits = np.unpackbits(np.frombuffer((full ^ row).to_bytes(len(y) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
+
+
+def _align(x: list[int], y: list[int], at: int, out: list[int]) -> None:
+    """Adds the places in x (from at on) of a longest common subsequence with y, halving x each time: memory grows with the lines and not with their product."""
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append(at + a)
+            a, c = a + 1, c + 1
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            if x[a] in y[c:d]:
+                out.append(at + a)
+            continue
+        middle = (a + b) // 2
+        before = _prefix_lengths(x[a:middle], y[c:d])
+        after = _prefix_lengths(x[middle:b][::-1], y[c:d][::-1])[::-1]
+        cut = c + int(np.argmax(before + after))
+        todo += [(a, middle, c, cut), (middle, b, cut, d)]
+
+
 def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     """For each line of a, whether it belongs to a longest common subsequence with b. Common ends are matched first, which loses no length."""
     head = 0
@@ -128,23 +165,12 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     flags = [True] * head + [False] * (len(a) - head - tail) + [True] * tail
-    inner_b = b[head : len(b) - tail]
-    common = set(a[head : len(a) - tail]) & set(inner_b)
-    x = [(i, a[i]) for i in range(head, len(a) - tail) if a[i] in common]
-    y = [s for s in inner_b if s in common]
-    length = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            length[i][j] = 1 + length[i + 1][j + 1] if x[i][1] == y[j] else max(length[i + 1][j], length[i][j + 1])
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if x[i][1] == y[j]:
-            flags[x[i][0]] = True
-            i, j = i + 1, j + 1
-        elif length[i + 1][j] >= length[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    names = {line: i for i, line in enumerate(set(a[head : len(a) - tail]) & set(b[head : len(b) - tail]))}
+    x = [i for i in range(head, len(a) - tail) if a[i] in names]
+    found: list[int] = []
+    _align([names[a[i]] for i in x], [names[s] for s in b[head : len(b) - tail] if s in names], 0, found)
+    for i in found:
+        flags[x[i]] = True
     return flags
 
 
