@@ -139,7 +139,7 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: dict[str, str] =
     """df without the text, with n_words, n_base, first_word, last_word, base_labels, labels and score (the best containment; 1 where a phrase stands)."""
     frequency = template_frequency(df, text, templates)
     own = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    rest = [c for c in df.columns if c != text and c not in own]
+    rest = [c for c in df.columns if c.lower() != text.lower() and c.lower() not in own]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,3 +101,23 @@ def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_WINDOWS = "list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+OP4_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS raw FROM documents),
+     a AS (SELECT doc_id, list_filter(regexp_split_to_array(raw, '[ 	-]+'), lambda x: x <> '') AS w, list_filter(string_split(raw, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM t),
+     g AS (SELECT doc_id, unnest({_WINDOWS}) AS gram, generate_subscripts({_WINDOWS}, 1) AS i FROM a),
+     again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+     p AS (SELECT doc_id, CAST(count(DISTINCT i + k) AS BIGINT) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+     m AS (SELECT a.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(array_to_string(w, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+                  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                  len(list_filter(w, lambda x: octet_length(encode(x)) <= {_STOP_BYTES} AND list_contains({_listed(sorted(set(STOP_WORDS)))}, lower(trim(x, '{_MARKS.replace("'", "''")}'))))) AS n_stop_words
+           FROM a LEFT JOIN p ON p.doc_id = a.doc_id),
+     f AS (SELECT *, {BASE_FAILED} AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"({measure.replace('/', '::DOUBLE /')}) {sign} {bound}" for measure, least, most in RULES.values() for sign, bound in ((">=", least), ("<=", most)) if bound is not None)} AS kept FROM f
+"""

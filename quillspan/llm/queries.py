@@ -15,4 +15,4 @@ QUERIES = {
     "op10_html_extraction": html_text.op10_html_extraction,
 }
 
-SQL = {"op1_shards": sharding.OP1_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
+SQL = {"op1_shards": sharding.OP1_SQL, "op4_quality_rules": quality_rules.OP4_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}

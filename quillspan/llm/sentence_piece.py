@@ -230,7 +230,7 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", with_ids: bool =
     with open(model, "rb") as f:
         proto = f.read()
     own = (["ids"] if with_ids else []) + ["n_tokens", "ids_crc32", "round_trip", "parity"]
-    rest = [c for c in df.columns if c != text and c not in own]
+    rest = [c for c in df.columns if c.lower() != text.lower() and c.lower() not in own]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = scratch.per_worker("sentence_piece", proto, lambda: Codec(proto))

@@ -3,7 +3,8 @@
 1. A sample of keys is drawn, each row with a chance that grows with its size (and, by half, with the mere fact that it
    is a row, so that neither bytes nor rows can pile up in one range). The draw is a hash of the key, so a rerun draws
    the same rows. Its expected size is a parameter and does not depend on the input.
-2. The sample's weighted quantiles are the splitters of ``n_shards * ranges_per_shard`` key ranges.
+2. The sample's weighted quantiles are the splitters of key ranges, 16 to 256 of a shard, so that a range holds about
+   ROWS_PER_RANGE rows however large the table.
 3. Rows are range-partitioned; exact bytes and rows per range give every range its offset in the whole.
 4. A range that is overfull, or lies across the end of a shard, is subdivided at the row where the running size passes
    the shard's end. The order within a range goes on with a tie column, so one key with a third of all rows is cut as well.
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from . import scratch
 
 _LEAST = -(2**63)
-_STEP = 16
+_STEP = 64
+ROWS_PER_RANGE = 500_000
+LEAST_RANGES, MOST_RANGES = 16, 256  # of a shard
 
 
 def _range_of(splitters: list[tuple[int, int]]) -> Column:
@@ -41,7 +44,7 @@ def _range_of(splitters: list[tuple[int, int]]) -> Column:
     return top * _STEP + below(F.slice(pairs, top * _STEP + 1, _STEP - 1))
 
 
-def shard_by_size(df: DataFrame, n_shards: int, key: Column, size: Column, tie: Column, *, ranges_per_shard: int = 16, samples_per_range: int = 32, seed: int = 17) -> DataFrame:
+def shard_by_size(df: DataFrame, n_shards: int, key: Column, size: Column, tie: Column, *, samples_per_range: int = 32, seed: int = 17) -> DataFrame:
     """df's rows and columns with shard int (0 to n_shards - 1, in key order) and slot long (gapless from 0 in its shard).
 
     key and tie give longs, size a long of at least 0.
@@ -49,7 +52,7 @@ def shard_by_size(df: DataFrame, n_shards: int, key: Column, size: Column, tie:
     rows = df.select(F.struct(*scratch.names(df)).alias("row"), F.coalesce(key.cast("long"), F.lit(0)).alias("k"), F.coalesce(tie.cast("long"), F.lit(_LEAST)).alias("t"), F.coalesce(size.cast("long"), F.lit(0)).alias("w"))
     rows = scratch.keep(rows, "shard-rows")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
-    n_ranges = n_shards * ranges_per_shard
+    n_ranges = n_shards * min(MOST_RANGES, max(LEAST_RANGES, n // (n_shards * ROWS_PER_RANGE)))
     share = F.col("w") / F.lit(2.0 * max(total, 1)) + F.lit(0.5 / max(n, 1))
     expected = share * (n_ranges * samples_per_range)
     draw = F.pmod(F.xxhash64("k", "t", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)

@@ -10,6 +10,7 @@ Files are Parquet containers of blocks, as Spark's writers are what reaches any
 document, control, data, and where the block starts within its file. A file's own total is all that is needed to place it.
 
 A null text counts as empty and has the end id alone. Documents with one doc_id stay apart, ordered by their ids' checksum; null ids come first.
+Other columns of the input are left out, whatever they are called. A vocabulary of more than 16 bits is an error.
 
 Pre-tokenisation never crosses a space that is followed by a visible character, so a text is the sequence of its
 stretches from one such space to the next. Stretches repeat: Arrow tells apart those of a few megabytes of text, each is encoded

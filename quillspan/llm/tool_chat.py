@@ -12,6 +12,7 @@ it is a JSON object with a string "tool_call_id" ("content" holds what came back
 - JSON: keys sorted, no white space, one line per message.
 
 Null texts count as empty content. Messages without a conversation link to nothing. Repeated messages stay, each with its own line.
+Other columns of the input are left out, whatever they are called.
 """
 
 from __future__ import annotations
