@@ -46,8 +46,9 @@ LOOSE = 0.6
 SKETCH = 0.65
 LEVELS = 2  # positions chosen between two looks at the nodes
 BUCKET = 64
-#: A node is split further only if that leaves fewer than this share of its pairs.
-GAIN = 0.75
+#: A node is split further only if its pairs agree on a smaller share of minhashes: splitting leaves about (share / LOOSE) ** LEVELS of them.
+ALIKE = 0.5
+DEEPEST = 40  # positions; what is still large there is compared as it is
 BLOCK, BLOCK_MEMBERS = 256, 400_000
 WORD_CACHE = 300_000
 
@@ -147,7 +148,7 @@ def _descend(paths: np.ndarray, owner: np.ndarray, sig: np.ndarray, levels: int)
 
 
 def _paths(rows: DataFrame, roots: int | None) -> DataFrame:
-    """(path, parent, cid, n) LEVELS positions further on: from `roots` roots (the runs), or from each row's own path."""
+    """(path, cid, n, probe) LEVELS positions further on: from `roots` roots (the runs), or from each row's own path. probe: the set's minhash at a position that the path picks."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,43 +159,45 @@ def _paths(rows: DataFrame, roots: int | None) -> DataFrame:
                 if roots:
                     start = np.tile(_mix(np.arange(1, roots + 1, dtype=np.uint64)), len(part))
                     owner = np.repeat(owner, roots)
-                    parent = np.zeros(len(part), dtype=np.int64)
                 else:
-                    parent = part.column(3).to_numpy()
-                    start = parent.view(np.uint64)
+                    start = part.column(3).to_numpy().view(np.uint64)
                 paths, owner = _descend(start, owner, sig, LEVELS)
+                probe = sig[owner, (_mix(paths) % np.uint64(POSITIONS)).astype(np.int64)].view(np.int32)
                 take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(parent[owner]), part.column(0).take(take), part.column(1).take(take)], names=["path", "parent", "cid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(probe)], names=["path", "cid", "n", "probe"])
 
-    return scratch.map_batches(rows.select("cid", "n", "sig", *([] if roots else ["path"])), walk, "path bigint, parent bigint, cid bigint, n int")
+    return scratch.map_batches(rows.select("cid", "n", "sig", *([] if roots else ["path"])), walk, "path bigint, cid bigint, n int, probe int")
 
 
 def _shared(paths: DataFrame) -> DataFrame:
-    """(path, parent, cid, m, s) of the nodes that hold two sets or more; m: how many, s: their members. Only rows of such nodes are joined. Written."""
+    """(path, cid, probe, m, s) of the nodes that hold two sets or more; m: how many, s: their members. Only rows of such nodes are joined. Written."""
     paths = scratch.keep(paths, "near-paths")
-    counts = scratch.keep(paths.groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("s")).filter("m > 1"), "near-nodes")
+    counts = scratch.keep(paths.groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("s")).filter("m > 1"), "near-nodes", light=True)
     mine = scratch.with_maybe(paths, scratch.key_filter(counts, "path"), "hit", "path").filter("hit")
-    return scratch.keep(mine.select("path", "parent", "cid").join(counts, "path"), "near-members")
+    return scratch.keep(mine.select("path", "cid", "probe").join(counts, "path"), "near-members", light=True)
 
 
 def _ended(classes: DataFrame, runs: int) -> DataFrame:
-    """(path, cid, m, s) of the nodes in which sets are compared."""
-    pairs = lambda m: F.col(m) * (F.col(m) - 1)
+    """(path, cid, m, s) of the nodes in which sets are compared; written."""
     of = ("path", "cid", "m", "s")
     found = _shared(_paths(classes, runs))
     ended = found.filter(F.col("m") <= BUCKET).select(*of)
-    large = found.filter(F.col("m") > BUCKET)
-    while not large.isEmpty():
-        below = _shared(_paths(large.select("path", "cid").join(classes.select("cid", "n", "sig"), "cid"), None))
-        left = below.groupBy("parent", "path").agg(F.first("m").alias("m")).groupBy("parent").agg(F.sum(pairs("m")).alias("left"))
-        whole = large.groupBy("path").agg(F.first("m").alias("m"))
-        alike = whole.join(left, whole["path"] == left["parent"], "left").filter(F.coalesce("left", F.lit(0)) > GAIN * pairs("m")).select("path")
-        alike = scratch.keep(alike, "near-alike")
+    for depth in range(LEVELS, DEEPEST + 1, LEVELS):
+        large = found.filter(F.col("m") > BUCKET)
+        if large.isEmpty():
+            break
+        if depth >= DEEPEST:
+            ended = ended.unionByName(large.select(*of))
+            break
+        same = large.groupBy("path", "probe").agg(F.count("*").alias("c")).groupBy("path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
+        alike = scratch.keep(same.filter(F.col("same") >= ALIKE * F.col("m") * (F.col("m") - 1)).select("path"), "near-alike", light=True)
         ended = ended.unionByName(large.join(alike, "path", "left_semi").select(*of))
-        split = below.join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti")
-        ended = ended.unionByName(split.filter(F.col("m") <= BUCKET).select(*of))
-        large = scratch.keep(split.filter(F.col("m") > BUCKET), "near-large")
-    return ended
+        rest = scratch.keep(large.join(alike, "path", "left_anti").select("path", "cid"), "near-large", light=True)
+        if rest.isEmpty():
+            break
+        found = _shared(_paths(rest.join(classes.select("cid", "n", "sig"), "cid"), None))
+        ended = ended.unionByName(found.filter(F.col("m") <= BUCKET).select(*of))
+    return scratch.keep(ended, "near-ended", light=True)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -248,11 +251,7 @@ def _pairs_by_sketch(rows: DataFrame, parts: int) -> DataFrame:
             flat = flat[ends[0] : ends[-1]]
             before = flat < path
             if before.any():  # a pair that shares a smaller node is looked at there
-                names, column = np.unique(flat[before], return_inverse=True)
-                held = np.zeros((m, len(names)), dtype=np.float32)
-                held[owner[before], column] = 1
-                held = held[:, held.sum(axis=0) > 1]
-                near &= held @ held.T < 0.5
+                near &= _together(m, owner[before], flat[before]) < 0.5
             near |= near.T
             some = np.flatnonzero(near.any(axis=1))
             bits = np.packbits(near[np.ix_(some, some)], axis=1)
@@ -275,19 +274,26 @@ def _pairs_by_sketch(rows: DataFrame, parts: int) -> DataFrame:
 def _shared_counts(sets: list[np.ndarray], near: np.ndarray) -> np.ndarray:
     """How many members the sets of each marked pair share."""
     m = len(sets)
-    count = np.zeros((m, m), dtype=np.float32)
     if near.sum() <= 8 * m:
+        count = np.zeros((m, m), dtype=np.float32)
         for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
             count[i, j] = count[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
         return count
-    names, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    twice = times[column] > 1  # a member of one set only is shared by none
+    return _together(m, np.repeat(np.arange(m), [len(s) for s in sets]), np.concatenate(sets))
+
+
+def _together(m: int, owner: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """How many names each two of m owners have both, for names that no owner has twice; some thousand names at a time."""
+    _, column, times = np.unique(names, return_inverse=True, return_counts=True)
+    twice = times[column] > 1  # what one owner has alone is shared by none
     owner, column = owner[twice], np.unique(column[twice], return_inverse=True)[1]
+    count = np.zeros((m, m), dtype=np.float32)
+    by_column = np.argsort(column, kind="stable")
+    owner, column = owner[by_column], column[by_column]
     for a in range(0, int(column.max(initial=-1)) + 1, 8192):
-        here = (column >= a) & (column < a + 8192)
+        i, j = np.searchsorted(column, (a, a + 8192))
         held = np.zeros((m, 8192), dtype=np.float32)
-        held[owner[here], column[here] - a] = 1
+        held[owner[i:j], column[i:j] - a] = 1
         count += held @ held.T
     return count
 
@@ -323,13 +329,13 @@ def _links(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) for the ends of edges (u, v): the smallest id of the component. Tables are written between rounds."""
-    both = scratch.keep(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "cc-edges")
-    labels = scratch.keep(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("u"), F.min("v")).alias("label")), "cc-labels")
+    both = scratch.keep(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "cc-edges", light=True)
+    labels = scratch.keep(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("u"), F.min("v")).alias("label")), "cc-labels", light=True)
     while True:
         heard = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("heard"))
         nearer = labels.join(heard, "id").select("id", F.col("label").alias("old"), F.least("label", "heard").alias("near"))
         jumped = nearer.join(labels.select(F.col("id").alias("near"), F.col("label").alias("far")), "near", "left")
-        after = scratch.keep(jumped.select("id", F.least("near", "far").alias("label"), (F.least("near", "far") < F.col("old")).alias("moved")), "cc-labels")
+        after = scratch.keep(jumped.select("id", F.least("near", "far").alias("label"), (F.least("near", "far") < F.col("old")).alias("moved")), "cc-labels", light=True)
         labels = after.select("id", "label")
         if after.filter("moved").isEmpty():
             return labels
@@ -339,7 +345,7 @@ def _classes(signed: DataFrame) -> DataFrame:
     """(key, n, sig, id, copies, best, cid): one row per set; best is the row of it that stays before all others: with an id, the smallest, and of one id by digests. Written."""
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "th"))
     per_set = signed.filter("n > 0").groupBy("key", "n", "sig").agg(F.min("id").alias("id"), F.count("*").alias("copies"), best.alias("best"))
-    return scratch.keep(per_set.withColumn("cid", F.monotonically_increasing_id()), "near-classes")  # read back, so a number stays with its set
+    return scratch.keep(per_set.withColumn("cid", F.monotonically_increasing_id()), "near-classes", light=True)  # read back, so a number stays with its set
 
 
 def _decided(df: DataFrame, signed: DataFrame, text: str, id_: str, threshold: float, recall: float) -> DataFrame:
@@ -355,7 +361,7 @@ def _decided(df: DataFrame, signed: DataFrame, text: str, id_: str, threshold: f
     known = ended.groupBy("cid").agg(F.sort_array(F.collect_set("path")).alias("nodes")).join(classes.select("cid", sketch.alias("sketch")), "cid")
     near = scratch.keep(_pairs_by_sketch(tiles.join(known, "cid"), parts), "near-pairs")
     # Whole sets of those in a pair, each from one of its rows.
-    wanted = scratch.keep(near.select("cid").distinct().join(classes.select("cid", "key", "copies", "best.id", "best.th"), "cid"), "near-wanted")
+    wanted = scratch.keep(near.select("cid").distinct().join(classes.select("cid", "key", "copies", "best.id", "best.th"), "cid"), "near-wanted", light=True)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -396,7 +402,7 @@ def keep_first(df: DataFrame, text: str = "text", id_: str = "doc_id", threshold
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("th") == F.col("best.th")) & (F.col("key") == F.col("best.key"))
     members = signed.filter("n > 0").select("id", "th", "key").join(per_class, "key").groupBy("id", "th").agg(F.max(stays).alias("once"), F.count("*").alias("copies"))
     # Rows that go, and those of which only one may stay; all others pass without a join.
-    members = scratch.keep(members.filter("NOT once OR copies > 1").select("id", "th", "once"), "near-result")
+    members = scratch.keep(members.filter("NOT once OR copies > 1").select("id", "th", "once"), "near-result", light=True)
     rows = df.select(F.struct(*scratch.names(df)).alias("row"), F.col(f"`{id_}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
     marked = scratch.with_maybe(rows, scratch.key_filter(members, "id", "th"), "maybe", "id", "th")
     asked = marked.filter("maybe").alias("a").join(members.alias("m"), F.col("a.id").eqNullSafe(F.col("m.id")) & (F.col("a.th") == F.col("m.th")), "left")

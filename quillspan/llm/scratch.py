@@ -7,7 +7,6 @@ reads them, so a lost executor costs a re-read and not a recomputation of everyt
 from __future__ import annotations
 
 import contextlib
-import contextvars
 import ctypes
 import functools
 import gc
@@ -27,11 +26,12 @@ FILTER_BITS_PER_KEY, FILTER_BITS_LEAST, FILTER_BITS_MOST = 16, 1 << 15, 1 << 28
 #: Rows of an Arrow batch of whole texts, where the session keeps Spark's default of 10,000: a batch is held several times over, in both processes.
 ARROW_ROWS = 1000
 _ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+LIGHT_FILES = 4  # of a light table, per core
 _BUCKET = 32768  # bits of one bitmap of bitmap_construct_agg
 
 #: Paths written so far, by application and owner.
 _written: dict[tuple[str, str], list[str]] = {}
-_owner: contextvars.ContextVar[str] = contextvars.ContextVar("owner", default="")
+_owner = [""]
 
 shared_dir = shared.folder
 
@@ -39,20 +39,22 @@ shared_dir = shared.folder
 @contextlib.contextmanager
 def owned(owner: str) -> Iterator[None]:
     """Tables that are kept meanwhile belong to this owner, who alone releases them."""
-    token = _owner.set(owner)
+    _owner.append(owner)
     try:
         yield
     finally:
-        _owner.reset(token)
+        _owner.pop()
 
 
-def keep(df: DataFrame, name: str, *, sort: tuple[str, ...] = (), options: dict[str, str] | None = None, by: str | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and return the table read back."""
+def keep(df: DataFrame, name: str, *, sort: tuple[str, ...] = (), options: dict[str, str] | None = None, by: str | None = None, light: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and return the table read back. A light table has no more files than suit the cluster's cores: its writers run through several partitions each, one after the other."""
     spark = df.sparkSession
+    if light:
+        df = df.coalesce(LIGHT_FILES * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = (df.sortWithinPartitions(*sort) if sort else df).write.options(**(options or {}))
     (writer.partitionBy(by) if by else writer).parquet(path)
-    _written.setdefault((spark.sparkContext.applicationId, _owner.get()), []).append(path)
+    _written.setdefault((spark.sparkContext.applicationId, _owner[-1]), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
