@@ -38,18 +38,18 @@ from . import scratch
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RECALL = 0.9999
+RECALL = 0.999  # of pairs at the threshold, in nodes of any depth; in those of the first look it is 0.99999
 POSITIONS = 128
 #: The similarity at which a path just survives; paths of pairs at the threshold branch by THRESHOLD / LOOSE.
 LOOSE = 0.6
 #: Pairs whose sketches agree on a smaller share are not compared: the threshold less four standard deviations.
 SKETCH = 0.65
-LEVELS = 2  # positions chosen between two looks at the nodes
+FIRST, LEVELS = 2, 2  # positions chosen before the first look at the nodes, and between two looks after it
 BUCKET = 64
 #: A node is split further only if its pairs agree on a smaller share of minhashes: splitting leaves about (share / LOOSE) ** LEVELS of them.
 ALIKE = 0.5
 DEEPEST = 40  # positions; what is still large there is compared as it is
-BLOCK, BLOCK_MEMBERS = 256, 400_000
+BLOCK, BLOCK_MEMBERS = 512, 400_000
 WORD_CACHE = 300_000
 
 _rng = np.random.default_rng(20240229)
@@ -147,8 +147,8 @@ def _descend(paths: np.ndarray, owner: np.ndarray, sig: np.ndarray, levels: int)
     return paths, owner
 
 
-def _paths(rows: DataFrame, roots: int | None) -> DataFrame:
-    """(path, cid, n, probe) LEVELS positions further on: from `roots` roots (the runs), or from each row's own path. probe: the set's minhash at a position that the path picks."""
+def _paths(rows: DataFrame, roots: int | None, levels: int) -> DataFrame:
+    """(path, cid, n, probe) so many positions further on: from `roots` roots (the runs), or from each row's own path. probe: the set's minhash at a position that the path picks."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +161,7 @@ def _paths(rows: DataFrame, roots: int | None) -> DataFrame:
                     owner = np.repeat(owner, roots)
                 else:
                     start = part.column(3).to_numpy().view(np.uint64)
-                paths, owner = _descend(start, owner, sig, LEVELS)
+                paths, owner = _descend(start, owner, sig, levels)
                 probe = sig[owner, (_mix(paths) % np.uint64(POSITIONS)).astype(np.int64)].view(np.int32)
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(probe)], names=["path", "cid", "n", "probe"])
@@ -180,9 +180,9 @@ def _shared(paths: DataFrame) -> DataFrame:
 def _ended(classes: DataFrame, runs: int) -> DataFrame:
     """(path, cid, m, s) of the nodes in which sets are compared; written."""
     of = ("path", "cid", "m", "s")
-    found = _shared(_paths(classes, runs))
+    found = _shared(_paths(classes, runs, FIRST))
     ended = found.filter(F.col("m") <= BUCKET).select(*of)
-    for depth in range(LEVELS, DEEPEST + 1, LEVELS):
+    for depth in range(FIRST, DEEPEST + LEVELS, LEVELS):
         large = found.filter(F.col("m") > BUCKET)
         if large.isEmpty():
             break
@@ -195,7 +195,7 @@ def _ended(classes: DataFrame, runs: int) -> DataFrame:
         rest = scratch.keep(large.join(alike, "path", "left_anti").select("path", "cid"), "near-large", light=True)
         if rest.isEmpty():
             break
-        found = _shared(_paths(rest.join(classes.select("cid", "n", "sig"), "cid"), None))
+        found = _shared(_paths(rest.join(classes.select("cid", "n", "sig"), "cid"), None, LEVELS))
         ended = ended.unionByName(found.filter(F.col("m") <= BUCKET).select(*of))
     return scratch.keep(ended, "near-ended", light=True)
 
