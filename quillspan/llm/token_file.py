@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 BLOCK_TOKENS = 1 << 18
-CACHE_CHARS = 4_000_000  # of stretches that a worker remembers
+CACHE_CHARS = 10_000_000  # of stretches that a worker remembers
 LONGEST = 64  # a longer stretch is not remembered
 TOGETHER = 1000  # stretches in one text for the library
 _CUT = re.compile(r" (?=\S)")
