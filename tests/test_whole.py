@@ -73,7 +73,7 @@ def joined_rows(node):
     return max([own, *[joined_rows(node.children().apply(i)) for i in range(node.children().size())]])
 
 
-@pytest.mark.parametrize("name", ["cross_block_pairs", "adjudication_budget", "cross_block_sizes"])
+@pytest.mark.parametrize("name", ["cross_block_pairs", "adjudication_budget", "cross_block_sizes", "metric_adjudication"])
 def test_copies_of_parts_do_not_meet(spark, tmp_path, name):
     """Fifty copies of every part: the rows of the SQL, and no join that gives more than the pairs of distinct names of a type and brand, or of classes."""
     con = duckdb.connect()
