@@ -86,7 +86,7 @@ def test_copies_of_parts_do_not_meet(spark, tmp_path, name):
     assert joined_rows(found._jdf.queryExecution().executedPlan()) <= max(distinct, len(rows))
 
 
-@pytest.mark.parametrize("name", ["adjudication_budget", "cross_block_sizes"])
+@pytest.mark.parametrize("name", ["adjudication_budget", "cross_block_sizes", "metric_adjudication"])
 def test_names_of_many_types_and_brands_meet_once(spark, tmp_path, name):
     """600 names of twelve types and brands each, some of two or one, and nulls: the rows of the SQL, and no join that gives a pair for every type and brand that its names share."""
     con = duckdb.connect()
